@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm import quality, toxicity
+from specweave.llm import neardup, quality, toxicity
 from specweave.llm.common import fold_of
 from specweave.workspace import table
 
@@ -21,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), parts=4, held=2)
@@ -30,5 +34,5 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op7_quality": op7_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_neardup": op3_neardup, "op7_quality": op7_quality}
 ORACLES: dict[str, str] = {}
