@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm import neardup, quality, toxicity
+from specweave.llm import decontaminate, neardup, packing, quality, toxicity
 from specweave.llm.common import fold_of
 from specweave.workspace import table
 
@@ -21,6 +21,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "leak.contaminated", "leak.coverage", "leak.item_id", "leak.items")
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -34,5 +39,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_neardup": op3_neardup, "op7_quality": op7_quality}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.words(F.col("text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_neardup, op7_quality, op9_packing)}
 ORACLES: dict[str, str] = {}
