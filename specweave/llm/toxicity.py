@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import labelled_sample
+from specweave.llm.common import labelled_sample, logistic
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -121,6 +121,11 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _codes(text: str) -> np.ndarray:
+    """20-bit codes of the text's distinct words."""
+    return np.unique(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) & 0xFFFFF for w in set(fold(text).split())], np.int32))
+
+
 def learn(texts: list[str], y: np.ndarray, seeds: dict[str, float] | None = None, exceptions=()) -> Lexicon:
     """Entries, exceptions and curve from training texts and 0/1 labels."""
     given = {f" {fold(k).strip()} ": w for k, w in (seeds or {}).items()}
@@ -128,58 +133,44 @@ def learn(texts: list[str], y: np.ndarray, seeds: dict[str, float] | None = None
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     if not n_pos or not n_neg:
         return Lexicon(given, spared)
-    sets = [sorted(set(fold(text).split())) for text in texts]
-    spread = Counter(w for distinct in sets for w in distinct)
-    rare = {w: zlib.crc32(w.encode()) for w, n in spread.items() if n <= max(2, RARE * len(texts))}
-    families = [min((rare[w] for w in distinct if w in rare), default=-1 - i) for i, distinct in enumerate(sets)]
-    words: tuple[Counter, Counter] = Counter(), Counter()
-    heads: tuple[Counter, Counter] = Counter(), Counter()
-    once: dict[tuple[int, int], set[str]] = {}
-    for distinct, family, label in zip(sets, families, y):  # near copies count once
-        known = once.setdefault((family, int(label)), set())
-        words[int(label)].update(new := [w for w in distinct if w not in known])
-        known.update(new)
-        heads[int(label)].update(new := {x for w in distinct for n in PREFIXES if len(w) >= n and (x := f"{n}{w[:n]}") not in known})
-        known.update(new)
-    n_pos, n_neg = (len({f for f, v in once if v == label}) for label in (1, 0))
+    rarity, families = np.zeros(1 << 20, np.int32), []
+    for text in texts:
+        rarity[_codes(text)] += 1
+    for i, text in enumerate(texts):
+        codes = _codes(text)
+        codes = codes[rarity[codes] <= max(2, RARE * len(texts))]
+        families.append(int(codes.min()) if len(codes) else -1 - i)
+    n_pos, n_neg = (len({f for f, v in zip(families, y) if v == label}) for label in (1, 0))
+
+    def counted(label: int, parts) -> Counter:
+        """Families of documents of that label that have each part of a word."""
+        members: dict[int, list[str]] = {}
+        for text, family, v in zip(texts, families, y):
+            if v == label:
+                members.setdefault(family, []).append(text)
+        return Counter(x for own in members.values() for x in {x for t in own for w in set(fold(t).split()) for x in parts(w)})
 
     def odds(p: int, n: int) -> float:
         return math.log((p + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
 
     least = max(LEAST, SHARE * n_pos)
+    parts = lambda w: [f" {w} ", *(f" {w[:n]}" for n in PREFIXES if len(w) >= n)]
+    positive = {s: p for s, p in counted(1, parts).items() if p >= least}
+    negative = counted(0, lambda w: [s for s in parts(w) if s in positive])
     entries: dict[str, float] = {}
-    for n in PREFIXES:  # a short beginning makes the longer ones needless
-        for key, p in heads[1].items():
-            s = key[1:]
-            if len(s) == n and p >= least and (w := odds(p, heads[0][key])) >= ODDS and not any(f" {s[:k]}" in entries for k in PREFIXES if k < n):
-                entries[f" {s}"] = w
-    for s, p in words[1].items():
-        if p >= least and (w := odds(p, words[0][s])) >= ODDS and not any(f" {s[:k]}" in entries for k in PREFIXES):
-            entries[f" {s} "] = w
-    for s, n in words[0].items():  # harmless words that begin as an entry does
-        if n >= 2 and odds(words[1][s], n) < 0 and any(f" {s[:k]}" in entries for k in PREFIXES):
-            spared.add(f" {s} ")
+    for s, p in sorted(positive.items(), key=lambda x: (x[0][-1] == " ", len(x[0]), x[0])):  # a short beginning makes the longer ones needless
+        if (w := odds(p, negative[s])) >= ODDS and not any(s[: n + 1] in entries for n in PREFIXES if n + 1 < len(s)):
+            entries[s] = w
+    begun = lambda w: [f" {w} "] if any(f" {w[:n]}" in entries for n in PREFIXES if n <= len(w)) else []
+    toxic = counted(1, begun)
+    spared |= {s for s, n in counted(0, begun).items() if n >= 2 and odds(toxic[s], n) < 0}  # harmless words that begin as an entry does
     made = Lexicon(given | entries, spared)
     machine = made.automaton()
     x = np.array([[1.0, math.log1p(t), math.log1p(100 * t / (w + 20))] for t, _, w in (made.measure(t, machine) for t in texts)])
-    made.curve = tuple(_logistic(x, y))
+    made.curve = tuple(logistic(x, y))
     return made
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
-    """Newton's method; the slopes are held back a little, so that separable data end as well."""
-    beta, hold = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    hold[0] = 1e-6
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (y - p) - hold * beta
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold + 1e-9), grad)
-        beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta
-
-
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, rows: int = SAMPLE_ROWS, seeds=None, exceptions=()) -> Lexicon:
     """Learns from at most ``rows`` labelled documents outside the held-out fold."""
     return learn(*labelled_sample(docs, labels, "toxic", parts, held, rows), seeds, exceptions)
