@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm import decontaminate, neardup, packing, quality, toxicity
+from specweave.llm import ann, chat, decontaminate, langid, neardup, packing, quality, tokenstore, toxicity, warc
 from specweave.llm.common import fold_of
 from specweave.workspace import table
 
@@ -30,6 +30,20 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s.start, s.end)), ",")
+    return got.withColumn("spans", spans)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), parts=4, held=2)
@@ -39,9 +53,59 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, langid.training(parts=3, held=1))
+    got = langid.identify(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.words(F.col("text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_neardup, op7_quality, op9_packing)}
-ORACLES: dict[str, str] = {}
+def op10_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenstore.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_neardup, op4_perspectives, op5_warc, op6_ann, op7_quality, op8_langid, op9_packing, op10_tokenstore)}
+#: Equal results in SQL, where it can express them.
+ORACLES: dict[str, str] = {
+    "op4_perspectives": """
+        WITH t AS (
+            SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), p AS (
+            SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
+        ), s AS (
+            SELECT t.*, perspective, role = perspective AS own, CAST(floor(turn / 256.0) AS BIGINT) AS part,
+                   '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || '|>' || chr(10) AS head,
+                   text || '<|end|>' || chr(10) AS body
+            FROM t JOIN p USING (conv_id)
+        ), o AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, text) AS rn FROM s
+        ), c AS (
+            SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY rn) AS stop FROM o
+        ), g AS (
+            SELECT conv_id, perspective, part, count(*) AS turns, string_agg(head || body, '' ORDER BY rn) AS rendered, CAST(max(stop) AS BIGINT) AS size,
+                   coalesce(string_agg(CAST(stop - length(body) AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY rn) FILTER (WHERE own), '') AS spans
+            FROM c GROUP BY ALL
+        )
+        SELECT conv_id, perspective, part, CAST(0 AS BIGINT) AS sub, CAST(turns AS BIGINT) AS turns, rendered, spans,
+               CAST(coalesce(sum(size) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+        FROM g
+    """,
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), o AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM p
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
+        FROM o
+    """,
+}
