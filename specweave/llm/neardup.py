@@ -9,13 +9,21 @@ there is a key, and such a pair shares one. DISTANCE is CHUNKS * (ERRORS + 1) -
 At a Jaccard similarity of 0.8 a pair is further apart about once in 200,000.
 Links are confirmed on the full sets.
 
+A found pair passes on only if its sketches allow the similarity: a sketch has
+the parity, bit by bit, of how many shingles fall on each bit, so the bits in
+which two sketches differ are never more than the shingles in which the sets
+differ. This bound rejects no true link. What passes is confirmed on the full
+sets.
+
 No step holds a group of unbounded size:
   1. documents with equal sets are one class (grouped minima);
-  2. each key's documents are linked with its smallest one, if confirmed, and
-     joined to components, which takes up groups of copies in linear work;
+  2. in ROUNDS rounds, each key's documents are compared with one leader of the
+     key, each document is confirmed against the likeliest of its leaders, and
+     links are joined to components: linear work, which takes up groups of
+     copies. Leaders follow a few hash orders, others in each round;
   3. only keys that still hold several components are compared pair by pair,
-     in blocks of BLOCK rows, and only pairs of different components whose
-     signatures are within DISTANCE are confirmed, each pair once.
+     in blocks of BLOCK rows, and only pairs of different components within
+     DISTANCE are confirmed, each pair once.
 Every pair within DISTANCE is then confirmed or in one component already.
 
 Defined results: null, empty and wordless texts have an empty set and are
@@ -43,6 +51,12 @@ WIDTH = SYMBOLS // CHUNKS
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Rows of a key that are compared with as many others at a time.
 BLOCK = 256
+#: Rounds of comparing with leaders, and orders that leaders follow in a round.
+ROUNDS, ORDERS = 2, 3
+#: Least bits of a sketch; it has 4 bits a shingle at least. Blocks are compared on sketches folded to this.
+SKETCH_BITS = 1024
+#: Values of the hash whose set of wanted identifiers is broadcast (a bound on that table's rows).
+WANTED = 1 << 22
 SEED = 71
 
 
@@ -78,17 +92,39 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
     return ((out << np.uint64(6)) | number).reshape(-1, n).view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    bits = max(SKETCH_BITS, 1 << (4 * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """The sketch of fewer bits that the same shingles have."""
+    x = np.frombuffer(raw, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def possible(differ, n, percent: int):
+    """Whether sets of ``n`` shingles together, of which ``differ`` at least are in one alone, can be similar enough."""
+    shared = (n - differ) // 2
+    return 100 * shared >= percent * (n - shared)
+
+
 def _features(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, sig = [], [], []
+            n, digest, sig, bits = [], [], [], []
             texts = batch.column(1)
             for i in range(len(texts)):
                 shingles = shingle_set(texts[i].as_py(), size)
+                some = len(shingles) > 0
                 n.append(len(shingles))
-                digest.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-                sig.append(signature(shingles).tobytes() if len(shingles) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n", "digest", "sig"])
+                digest.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if some else None)
+                sig.append(signature(shingles).tobytes() if some else None)
+                bits.append(sketch(shingles) if some else None)
+            columns = [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, sig, bits))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "sig", "sketch"])
 
     return run
 
@@ -103,11 +139,26 @@ def _keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
 
 
-@F.arrow_udf("boolean")
-def _near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for one, two in batches:
-        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, SYMBOLS) for x in (one, two))
-        yield pa.array((a != b).sum(axis=1) <= DISTANCE)
+def _alike(percent: int):
+    """Bits in which two sketches differ; -1 where the sets cannot be similar enough."""
+
+    @F.arrow_udf("int")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for one, two, n in batches:
+            out = []
+            for a, b, total in zip(one.to_pylist(), two.to_pylist(), n.to_pylist()):
+                size = min(len(a), len(b))
+                differ = int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+                out.append(differ if possible(differ, total, percent) else -1)
+            yield pa.array(out, pa.int32())
+
+    return run
+
+
+@F.arrow_udf("binary")
+def _short(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([folded(x, SKETCH_BITS // 8).tobytes() for x in batch.to_pylist()], pa.binary())
 
 
 def _sets(size: int):
@@ -121,10 +172,9 @@ def _sets(size: int):
     return run
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within DISTANCE. Rows come sorted by key, lo, hi (the group)."""
-    left = None
-    names = ["key", "lo", "hi", "block", "rep", "comp"]
+def _cross(percent: int):
+    """Pairs of different components within DISTANCE that can be similar. Rows come sorted by key, lo, hi (the group)."""
+    names = ["key", "lo", "hi", "block", "rep", "comp", "n"]
 
     def pairs(x: dict, start: int, end: int) -> np.ndarray:
         i, j = np.triu_indices(end - start, 1)
@@ -143,6 +193,9 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = (wrong <= ERRORS).argmax(axis=1)  # a pair counts at the first key that it shares
             at_first = errors[np.arange(len(p)), first].argmax(axis=1)
             mine = first * WIDTH + at_first == number
+            p, q = p[mine], q[mine]
+            differ = np.bitwise_count(x["short"][p] ^ x["short"][q]).sum(axis=1).astype(np.int64)
+            mine = possible(differ, x["n"][p] + x["n"][q], percent)
             found.append(np.stack((x["rep"][p[mine]], x["rep"][q[mine]]), axis=1))
         return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
@@ -152,19 +205,24 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rows):
             yield pa.RecordBatch.from_arrays([pa.array(rows.min(axis=1)), pa.array(rows.max(axis=1))], names=["a", "b"])
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        x = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-        x["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            x["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            x["short"] = np.frombuffer(b"".join(batch.column("short").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+            if left is not None:
+                x = {k: np.concatenate((left[k], v)) for k, v in x.items()}
+            new = (np.diff(x["key"]) != 0) | (np.diff(x["lo"]) != 0) | (np.diff(x["hi"]) != 0)
+            ends = np.concatenate(([0], np.flatnonzero(new) + 1))
+            yield from done(x, ends)
+            left = {k: v[ends[-1] :] for k, v in x.items()}
         if left is not None:
-            x = {k: np.concatenate((left[k], v)) for k, v in x.items()}
-        new = (np.diff(x["key"]) != 0) | (np.diff(x["lo"]) != 0) | (np.diff(x["hi"]) != 0)
-        ends = np.concatenate(([0], np.flatnonzero(new) + 1))
-        yield from done(x, ends)
-        left = {k: v[ends[-1] :] for k, v in x.items()}
-    if left is not None:
-        yield from done(left, np.array([0, len(left["rep"])]))
+            yield from done(left, np.array([0, len(left["rep"])]))
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,49 +234,77 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id: str =
     spark = docs.sparkSession
     ws = Workspace(spark, "neardup")
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    features = ws.stage(source.mapInArrow(_features(size), "id long, n long, digest binary, sig binary"), "features")
-    reps = features.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = ws.stage(reps, "reps")
-    keyed = reps.select("rep", F.explode(_keys("sig")).alias("key"))
-    buckets = ws.stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("leader")).where("rows > 1").drop("rows"), "buckets")
-    members = ws.stage(keyed.join(buckets, "key"), "members")
+    features = ws.stage(source.mapInArrow(_features(size), "id long, n long, digest binary, sig binary, sketch binary"), "features")
+    known = features.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest")
+    reps = ws.stage(known.agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sig", "sketch"))), "reps")
+    alike = _alike(percent)
+
+    def order(number: int):
+        """The order that a key's leader is first in; keys of one order tend to agree on it."""
+        return F.xxhash64("rep", F.pmod("key", F.lit(64)) % ORDERS, F.lit(number))
+
+    def told(pairs: DataFrame, column: str) -> DataFrame:
+        """Adds class size and sketch of each end; sizes first, as they rule most pairs out."""
+        for c in "ab":
+            pairs = pairs.join(reps.select(F.col("rep").alias(c), F.col(column).alias(f"{column}_{c}")), c)
+        return pairs
+
+    def candidates(pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, differ): the pairs whose sizes and sketches allow the similarity."""
+        sized = told(pairs, "n").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        differ = told(sized, "sketch").select("a", "b", alike("sketch_a", "sketch_b", F.col("n_a") + F.col("n_b")).alias("differ"))
+        return ws.stage(differ.where("differ >= 0"), name)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b): those whose full sets are similar enough."""
-        slim = reps.select("rep", "n", "sig")
-        one = slim.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-        two = slim.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-        sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        near = ws.stage(sized.where(_near("sig_a", "sig_b")).select("a", "b").distinct(), f"{name}-near")
-        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = ws.stage(source.join(ids, "id", "left_semi").select("id", _sets(size)("text").alias("s")), f"{name}-sets")
-        both = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
+        ids = ws.stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
+        wanted = ids.select(F.pmod(F.xxhash64("id"), F.lit(WANTED)).alias("w")).distinct()  # keeps most other texts from being shuffled
+        texts = source.join(F.broadcast(wanted), F.pmod(F.xxhash64(source["id"]), F.lit(WANTED)) == F.col("w"), "left_semi")
+        sets = ws.stage(texts.join(ids, "id", "left_semi").select("id", _sets(size)("text").alias("s")), f"{name}-sets")
+        both = pairs.select("a", "b")
+        for c in "ab":
+            both = both.join(sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}")), c)
         shared = F.size(F.array_intersect("s_a", "s_b"))
         links = both.where(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b").distinct()
         links = ws.stage(links, f"{name}-links")
-        ws.drop(f"{name}-near", f"{name}-sets")
+        ws.drop(f"{name}-ids", f"{name}-sets")
         return links
 
-    stars = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    joined = components(confirmed(stars, "star"), ws, "star")
-    held = ws.stage(
-        members.join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")), "held"
-    )
-    mixed_keys = held.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("rows"))
-    mixed_keys = ws.stage(mixed_keys.where("c1 != c2").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rows = held.join(mixed_keys, "key").join(reps.select("rep", "sig"), "rep")
+    steps: list[DataFrame] = []  # each maps roots of the components so far to larger ones' roots
+
+    def rooted(df: DataFrame, column: str) -> DataFrame:
+        for step in steps:
+            df = df.join(step.select(F.col("node").alias(column), F.col("root").alias("__root")), column, "left")
+            df = df.withColumn(column, F.coalesce("__root", column)).drop("__root")
+        return df
+
+    def join_up(links: DataFrame, name: str) -> None:
+        steps.append(components(rooted(rooted(links, "a"), "b"), ws, name))
+
+    keyed = reps.select("rep", F.explode(_keys("sig")).alias("key"))
+    leader = F.min_by("rep", order(0)).alias("leader")
+    leaders = ws.stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), leader).where("rows > 1").drop("rows"), "leaders0")
+    members = ws.stage(keyed.join(leaders, "key"), "members0")
+    for turn in range(ROUNDS):
+        pairs = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+        near = candidates(pairs, f"near{turn}")
+        best = near.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("best")).select("best.a", "b")
+        join_up(confirmed(ws.stage(best, f"best{turn}"), f"turn{turn}"), f"joined{turn}")
+        held = ws.stage(rooted(members.select("key", "rep", F.col("rep").alias("comp")), "comp"), f"held{turn}")
+        several = held.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("rows"), F.min_by("rep", order(turn + 1)).alias("leader"))
+        leaders = ws.stage(several.where("c1 != c2").select("key", "leader", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), f"leaders{turn + 1}")
+        members = ws.stage(held.join(leaders, "key"), f"members{turn + 1}")
+        ws.drop(f"leaders{turn}", f"members{turn}", f"near{turn}", f"best{turn}", f"held{turn}")
+
+    rows = members.join(reps.select("rep", "n", "sig", _short("sketch").alias("short")), "rep")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp", "sig")
-    pairs = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_cross, "a long, b long")
-    more = confirmed(ws.stage(pairs, "cross"), "cross")
-    root = {k: joined.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in "ab"}
-    over = more.join(root["a"], "a", "left").join(root["b"], "b", "left")
-    last = components(over.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), ws, "cross")
-
-    found = reps.select("digest", "rep").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    found = found.join(last.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("digest", F.coalesce("last", "root").alias("component"))
-    found = ws.stage(found, "found")
-    ws.drop("reps", "buckets", "members", "held", "mixed", "cross")
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp", "n", "sig", "short")
+    pairs = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_cross(percent), "a long, b long")
+    near = candidates(ws.stage(pairs, "cross"), "near-cross")
+    join_up(confirmed(near, "last"), "joined-last")
+
+    found = ws.stage(rooted(reps.select("digest", F.col("rep").alias("component")), "component"), "found")
+    ws.drop("reps", f"leaders{ROUNDS}", f"members{ROUNDS}", "cross", "near-cross")
     out = features.select("id", "n", "digest").join(found, "digest", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
