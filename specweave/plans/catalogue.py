@@ -1,4 +1,565 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries and the SQL that gives the same rows.
 
-QUERIES: dict = {}
+Every query runs over whole tables. Searches take the rows whose identifier is
+divisible by 50, or all benchmark items, as their stated queries.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from specweave.functions import normalize as nz
+from specweave.functions import text as tx
+from specweave.operators import catalog, dense, extract, fusion, index, metrics
+from specweave.operators.bm25 import bm25
+from specweave.schemas import FIELDS, spark_type
+from specweave.sources import jsonl
+from specweave.workspace import Workspace, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(column) -> Column:
+    return F.round(column, 6)
+
+
+# ---------------------------------------------------------------- tokens and index
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+_UNITS = "|".join(tx.GLUED_UNITS)
+
+
+def _tokens(column: str) -> str:
+    s = f"regexp_replace(replace(lower({column}), '°c', 'c'), '(^|[^a-z])(dc|ac)([0-9])', '\\1\\2 \\3', 'g')"
+    return f"[t FOR t IN regexp_extract_all({s}, '[一-鿿]+|[0-9]+(?:\\.[0-9]+)?(?:{_UNITS})?|[a-z][a-z0-9\\-]*') IF t NOT IN ({_STOP})]"
+
+
+_POSTINGS = f"""
+    tok AS MATERIALIZED (SELECT doc_id, {_tokens('text')} AS tokens FROM documents),
+    docs AS (SELECT doc_id, len(tokens) AS len FROM tok),
+    postings AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY ALL),
+    terms AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+    stats AS (SELECT count(*)::DOUBLE AS n, avg(len)::DOUBLE AS avgdl FROM docs)
+"""
+
+
+def _bm25_sql(queries: str, k: int) -> str:
+    """CTEs up to ``ranked`` (qid, doc_id, score, rank); ``queries`` selects qid and text."""
+    return f"""
+    q AS (SELECT DISTINCT qid, unnest({_tokens('text')}) AS term FROM ({queries})), {_POSTINGS},
+    scored AS (
+        SELECT qid, doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
+                                / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))) AS score
+        FROM q JOIN terms USING (term) JOIN postings USING (term) JOIN docs USING (doc_id) CROSS JOIN stats GROUP BY qid, doc_id
+    ),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored),
+    ranked AS (SELECT * FROM numbered WHERE rank <= {k})
+"""
+
+
+def _document_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    texts = table(spark, sf_dir, "documents").select(F.lit("raw").alias("field"), "doc_id", "text")
+    return index.build_index(texts, Workspace(spark, "index"), latin=True)
+
+
+def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+@query(f"WITH {_POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM postings GROUP BY term")
+def tokenize_terms(spark, sf_dir):
+    postings = _document_index(spark, sf_dir).postings
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"WITH {_POSTINGS} SELECT doc_id, CAST(len AS INTEGER) AS len FROM docs")
+def doc_lengths(spark, sf_dir):
+    return _document_index(spark, sf_dir).docs.select("doc_id", "len")
+
+
+@query(f"WITH {_POSTINGS} SELECT 'raw' AS field, term, df FROM terms")
+def term_df(spark, sf_dir):
+    return _document_index(spark, sf_dir).terms
+
+
+@query(f"WITH {_POSTINGS} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM postings) AS postings, (SELECT count(*) FROM terms) AS terms FROM stats")
+def index_statistics(spark, sf_dir):
+    built = _document_index(spark, sf_dir)
+    stats = built.docs.agg(F.count(F.lit(1)).cast("double").alias("n"), r6(F.avg("len")).alias("avgdl"))
+    counts = built.postings.agg(F.count(F.lit(1)).alias("postings")).crossJoin(built.terms.agg(F.count(F.lit(1)).alias("terms")))
+    return stats.crossJoin(counts)
+
+
+_LITERAL = [(1, "that thing is with this"), (2, "eau la petite licensed under"), (3, "und die nicht 5 kg dc12v"), (4, "zzzz qqqq")]
+_LITERAL_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in _LITERAL) + ") v(qid, text)"
+
+
+@query(f"WITH {_bm25_sql(_LITERAL_SQL, 50)} SELECT CAST(qid AS BIGINT) AS qid, doc_id, round(score, 6) AS score, rank FROM ranked")
+def bm25_topk(spark, sf_dir):
+    """Flagship: the 50 best documents of literal queries; one query matches nothing."""
+    queries = spark.createDataFrame(_LITERAL, "qid long, text string")
+    return bm25(_document_index(spark, sf_dir), queries, latin=True).withColumn("score", r6("score"))
+
+
+@query(f"WITH {_bm25_sql('SELECT item_id AS qid, text FROM benchmark', 20)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM ranked")
+def bm25_batch(spark, sf_dir):
+    return bm25(_document_index(spark, sf_dir), _benchmark_queries(spark, sf_dir), k=20, latin=True).withColumn("score", r6("score"))
+
+
+@query("SELECT field, doc_id, CAST(length(text) AS BIGINT) AS chars FROM (SELECT 'raw' AS field, doc_id, text FROM documents UNION ALL SELECT 'norm', doc_id, text || chr(10) || lang FROM documents UNION ALL SELECT 'oracle', doc_id, text || chr(10) || source FROM documents)")
+def stack_fields(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    variants = {"raw": F.col("text"), "norm": F.concat("text", F.lit("\n"), "lang"), "oracle": F.concat("text", F.lit("\n"), "source")}
+    return index.stacked(docs, "doc_id", variants).select("field", "doc_id", F.length("text").cast("bigint").alias("chars"))
+
+
+# ---------------------------------------------------------------- vectors and fusion
+
+_DOT = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))"
+
+
+def _knn_sql(k: int, where: str = "true", queries: str = "vec_id % 50 = 0") -> str:
+    return f"""
+    pairs AS (SELECT q.vec_id AS qid, e.vec_id, e.label, {_DOT} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE {queries}) q WHERE {where}),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pairs),
+    near AS (SELECT * FROM numbered WHERE rank <= {k})
+"""
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    items = table(spark, sf_dir, "embeddings")
+    return items, items.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+@query(f"WITH {_knn_sql(10, queries='vec_id = 0')} SELECT vec_id, round(score, 6) AS score, rank FROM near")
+def dense_topk(spark, sf_dir):
+    items = table(spark, sf_dir, "embeddings")
+    query_vector = items.where("vec_id = 0").select(F.col("embedding").alias("qvec"))
+    scored = items.crossJoin(query_vector).select("vec_id", dense.cosine(F.col("embedding"), F.col("qvec")).alias("score"))
+    best = scored.orderBy(F.round("score", 9).desc(), "vec_id").limit(10)
+    return best.select("vec_id", r6("score").alias("score"), F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "vec_id")).cast("bigint").alias("rank"))
+
+
+@query(f"WITH {_knn_sql(10)} SELECT qid, vec_id, round(score, 6) AS score, rank FROM near")
+def dense_batch_topk(spark, sf_dir):
+    items, queries = _vectors(spark, sf_dir)
+    return dense.exact_knn(items, queries, 10).withColumn("score", r6("score"))
+
+
+@query(f"WITH {_knn_sql(10, 'e.label = 3')} SELECT qid, vec_id, round(score, 6) AS score, rank FROM near")
+def filtered_knn_exact(spark, sf_dir):
+    items, queries = _vectors(spark, sf_dir)
+    return dense.exact_knn(items.where("label = 3"), queries, 10).withColumn("score", r6("score"))
+
+
+@query(f"WITH {_knn_sql(40)}, kept AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM near WHERE label = 3) SELECT qid, vec_id, round(score, 6) AS score, place AS rank FROM kept WHERE place <= 10")
+def filtered_knn_postfilter(spark, sf_dir):
+    """Ranks first and filters after: fewer than ten rows a query remain."""
+    items, queries = _vectors(spark, sf_dir)
+    found = dense.exact_knn(items, queries, 40).drop("rank").join(items.select("vec_id", "label"), "vec_id").where("label = 3")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "vec_id"))
+    return found.withColumn("rank", place.cast("bigint")).where("rank <= 10").select("qid", "vec_id", r6("score").alias("score"), "rank")
+
+
+def _ivf(spark, sf_dir, lists: int = 32):
+    items, queries = _vectors(spark, sf_dir)
+    return dense.Ivf.build(items, Workspace(spark, "ivf"), lists), items, queries
+
+
+@query()
+def ivf_recall_sweep(spark, sf_dir):
+    """Recall at ten for each number of probed lists, in one plan; the last point is exact."""
+    built, items, queries = _ivf(spark, sf_dir)
+    truth, out = Workspace(spark, "truth").stage(dense.exact_knn(items, queries, 10), "truth"), None
+    for n in (1, 2, 4, 8, 16, 32):
+        point = dense.recall(built.search(queries, 10, n), truth, 10).agg(F.avg("recall").alias("recall")).select(F.lit(n).alias("nprobe"), r6("recall").alias("recall"))
+        out = point if out is None else out.unionByName(point)
+    return out
+
+
+@query()
+def ivf_build_grid(spark, sf_dir):
+    """Build parameters against bytes of the lists and recall at a fixed share of probes."""
+    rows = []
+    for lists in (16, 32):
+        built, items, queries = _ivf(spark, sf_dir, lists)
+        truth = dense.exact_knn(items, queries, 10)
+        recall = dense.recall(built.search(queries, 10, lists // 4), truth, 10).agg(F.avg("recall")).first()[0]
+        size = built.lists.agg(F.sum(F.size("embedding") * 4)).first()[0]
+        rows.append((lists, float(recall or 0), int(size or 0)))
+    return spark.createDataFrame(rows, "lists int, recall double, bytes long")
+
+
+@query()
+def filtered_knn_modes(spark, sf_dir):
+    """Rows and recall of the filtered modes: a fixed budget returns too few, widening ones return ten."""
+    built, items, queries = _ivf(spark, sf_dir)
+    truth, out = dense.exact_knn(items.where("label = 3"), queries, 10), None
+    for mode in ("prefilter", "postfilter", "iterative", "strict"):
+        found = built.search(queries, 10, 4, F.col("label") == 3, mode)
+        point = dense.recall(found, truth, 10).agg(F.avg("rows").alias("rows"), F.avg("recall").alias("recall")).select(F.lit(mode).alias("mode"), r6("rows").alias("rows"), r6("recall").alias("recall"))
+        out = point if out is None else out.unionByName(point)
+    return out
+
+
+@query()
+def lsh_recall(spark, sf_dir):
+    items, queries = _vectors(spark, sf_dir)
+    found = dense.lsh_knn(items, queries, 10)
+    return dense.recall(found, dense.exact_knn(items, queries, 10), 10).select("qid", r6("recall").alias("recall"), "rows")
+
+
+_SEMANTIC = f"""
+    spairs AS (SELECT b.item_id AS qid, e.vec_id AS doc_id, {_DOT} AS score FROM embeddings e, benchmark b JOIN embeddings q ON q.vec_id = b.item_id),
+    snum AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM spairs),
+    semantic AS (SELECT * FROM snum WHERE rank <= 50)
+"""
+
+
+@query(f"""
+    WITH {_bm25_sql('SELECT item_id AS qid, text FROM benchmark', 50)}, {_SEMANTIC},
+    fused AS (
+        SELECT coalesce(l.qid, s.qid) AS qid, coalesce(l.doc_id, s.doc_id) AS doc_id, l.rank AS lexical_rank, s.rank AS semantic_rank,
+               coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + s.rank), 0) AS rrf
+        FROM ranked l FULL OUTER JOIN semantic s ON l.qid = s.qid AND l.doc_id = s.doc_id
+    ), f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, doc_id) AS rank FROM fused)
+    SELECT qid, doc_id, round(rrf, 9) AS rrf, lexical_rank, semantic_rank, rank FROM f WHERE rank <= 50
+""")
+def hybrid_rrf(spark, sf_dir):
+    """Lexical and semantic rankings of every benchmark item, fused; vectors by equal identifiers."""
+    queries = _benchmark_queries(spark, sf_dir)
+    lexical = bm25(_document_index(spark, sf_dir), queries, latin=True)
+    items = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    asked = queries.join(items, F.col("qid") == F.col("doc_id")).select("qid", F.col("embedding").alias("qvec"))
+    semantic = dense.exact_knn(items, asked, 50, "doc_id")
+    return fusion.rrf(lexical, semantic).withColumn("rrf", F.round("rrf", 9))
+
+
+@query(f"""
+    WITH {_bm25_sql('SELECT item_id AS qid, text FROM benchmark', 50)},
+    qt AS (SELECT item_id AS qid, list_distinct({_tokens('text')}) AS qtok FROM benchmark),
+    s AS (
+        SELECT r.qid, r.doc_id, r.rank, CASE WHEN r.rank <= 30 THEN len(list_intersect(qtok, list_distinct(tokens)))::DOUBLE / nullif(len(qtok), 0) END AS score
+        FROM ranked r JOIN qt USING (qid) JOIN tok USING (doc_id)
+    )
+    SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank > 30, round(score, 9) DESC NULLS LAST, rank) AS rank FROM s
+""")
+def rerank_topn(spark, sf_dir):
+    queries, docs = _benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranked = Workspace(spark, "rerank").stage(bm25(_document_index(spark, sf_dir), queries, latin=True), "ranked")
+    return fusion.rerank(ranked, queries, docs)
+
+
+# ---------------------------------------------------------------- normalisation
+
+_VOLT = ["V", "kV", "mV", "伏", " v", "x"]
+
+
+@query("""
+    SELECT p_partkey, raw, round(CASE unit WHEN 'v' THEN size WHEN '伏' THEN size WHEN 'kv' THEN size * 1000 WHEN 'mv' THEN size * 0.001::DOUBLE END, 4) AS value,
+           unit NOT IN ('v', '伏', 'kv', 'mv') AS failed
+    FROM (SELECT p_partkey, raw, regexp_extract(s, '[0-9]+')::DOUBLE AS size, regexp_extract(s, '[0-9]+(.*)$', 1) AS unit FROM (
+        SELECT *, replace(replace(replace(lower(raw), ' ', ''), '约', ''), 'dc', '') AS s FROM (
+            SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'DC' WHEN 1 THEN '约' ELSE ' ' END || p_size || ['V', 'kV', 'mV', '伏', ' v', 'x'][p_partkey % 6 + 1] AS raw FROM part)))
+""")
+def unit_normalize(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    lead = F.get(F.array(F.lit("DC"), F.lit("约"), F.lit(" ")), (F.col("p_partkey") % 3).cast("int"))
+    unit = F.get(F.array(*[F.lit(u) for u in _VOLT]), (F.col("p_partkey") % 6).cast("int"))
+    rows = part.select("p_partkey", F.concat(lead, F.col("p_size").cast("string"), unit).alias("raw")).withColumn("n", nz.normalize("voltage_v", F.col("raw")))
+    return rows.select("p_partkey", "raw", F.col("n.value").alias("value"), F.col("n.error").isNotNull().alias("failed"))
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size * 100.0::DOUBLE WHEN 1 THEN p_size * 1000.0::DOUBLE ELSE round(p_size / 12.5::DOUBLE * 1000 / 10) * 10 END AS capacity_mah FROM part
+""")
+def capacity_with_context(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(size, F.lit("00mAh"))).when(F.col("p_partkey") % 3 == 1, F.concat(size, F.lit(" Ah"))).otherwise(F.concat(size, F.lit("Wh")))
+    voltage = nz.normalize("voltage_v", F.lit("12.5V"))["value"]
+    return part.select("p_partkey", nz.normalize("capacity_mah", raw, voltage)["value"].alias("capacity_mah"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE (CASE WHEN p_partkey % 4 = 2 THEN -p_size ELSE p_size END)::DOUBLE END AS lo, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE (p_size + 140)::DOUBLE END AS hi FROM part")
+def range_parse(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    lo, hi = F.col("p_size").cast("string"), (F.col("p_size") + 140).cast("string")
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.concat(lo, F.lit("-"), hi, F.lit("VAC 50/60Hz"))).when(k == 1, F.concat(lo, F.lit("℃至"), hi, F.lit("℃"))).when(k == 2, F.concat(F.lit("-"), lo, F.lit("°C to +"), hi)).otherwise(lo)
+    value = F.when(k == 0, nz.normalize("input_voltage_v", raw)["value"]).otherwise(nz.normalize("op_temp_c", raw)["value"])
+    return part.select("p_partkey", F.get(value, F.lit(0)).alias("lo"), F.get(value, F.lit(1)).alias("hi"))
+
+
+@query("SELECT p_partkey, CAST(p_size * [1, 10000, 1000, 1, NULL][p_partkey % 5 + 1] AS BIGINT) AS value FROM part")
+def count_parse(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    unit = F.get(F.array(*[F.lit(u) for u in ("pcs", "万个", "K", " units", "x")]), (F.col("p_partkey") % 5).cast("int"))
+    return part.select("p_partkey", nz.normalize("moq_units", F.concat(F.col("p_size").cast("string"), unit))["value"].alias("value"))
+
+
+_ENUM_RAW = ["EU", " 美规", "澳标", "Brushed DC", "ul认证", "磷酸铁锂 LFP", "nothing"]
+
+
+@query("SELECT p_partkey, ['EU', 'US', 'AU', NULL, NULL, NULL, NULL][p_partkey % 7 + 1] AS plug, [NULL, NULL, NULL, 'brushed_dc', NULL, NULL, NULL][p_partkey % 7 + 1] AS motor_type, [NULL, NULL, NULL, NULL, 'UL', NULL, NULL][p_partkey % 7 + 1] AS cert, [NULL, NULL, NULL, NULL, NULL, 'LiFePO4', NULL][p_partkey % 7 + 1] AS chemistry FROM part")
+def enum_map(spark, sf_dir):
+    raw = F.get(F.array(*[F.lit(x) for x in _ENUM_RAW]), (F.col("p_partkey") % 7).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", *[nz.normalize(f, raw)["value"].alias(f) for f in ("plug", "motor_type", "cert", "chemistry")])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size >= 10 THEN 'IP' || p_size END AS ip FROM part")
+def ip_parse(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", nz.normalize("ip_rating", F.concat(F.lit("防护等级 ip"), F.col("p_size").cast("string")))["value"].alias("ip"))
+
+
+@query("SELECT p_partkey, [true, false, true, false, false, NULL][p_partkey % 6 + 1] AS flag FROM part")
+def bool_parse(spark, sf_dir):
+    raw = F.get(F.array(*[F.lit(x) for x in ("是", "不可调光", "0-10V调光", "No", "normal", "maybe")]), (F.col("p_partkey") % 6).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", nz.normalize("dimmable", raw)["value"].alias("flag"))
+
+
+@query("""
+    SELECT p_partkey, concat_ws(' | ', 'motor', CASE WHEN p_partkey % 2 = 0 THEN 'brushless dc bldc' END, format('{:g}', p_size / 4.0::DOUBLE) || 'v', format('{:g}', (p_partkey % 1000 + 1)::DOUBLE) || ' rpm') AS canonical FROM part
+""")
+def canonical_text(spark, sf_dir):
+    some = {"voltage_v": F.col("p_size") / 4.0, "speed_rpm": (F.col("p_partkey") % 1000 + 1).cast("double"), "motor_type": F.when(F.col("p_partkey") % 2 == 0, "BLDC")}
+    attributes = F.struct(*[some.get(f, F.lit(None)).cast(spark_type(f)).alias(f) for f in FIELDS])
+    order = F.array(*[F.lit(f) for f in ("motor_type", "voltage_v", "speed_rpm", "moq_units")])
+    return table(spark, sf_dir, "part").withColumn("a", attributes).select("p_partkey", tx.canonical_text(F.lit("motor"), F.col("a"), order).alias("canonical"))
+
+
+@query("""
+    SELECT l_returnflag, count(*) AS total, CAST(count(*) FILTER (WHERE abs(l_extendedprice / l_quantity - p_retailprice) <= 0.02::DOUBLE * greatest(abs(p_retailprice), 1e-9::DOUBLE)) AS BIGINT) AS hits
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
+""")
+def value_accuracy(spark, sf_dir):
+    """How often the price of a unit is the part's, within two per cent of it."""
+    both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    hit = nz.same("power_w", F.try_divide("l_extendedprice", "l_quantity"), F.col("p_retailprice"))
+    return both.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("hits"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::DOUBLE = 24 AS holds FROM events")
+def json_containment(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", extract.containment(F.col("props"), {"k": 24}).alias("holds"))
+
+
+# ---------------------------------------------------------------- extraction and evaluation
+
+
+@query("SELECT o_orderkey, l_returnflag, l_linenumber, l_quantity FROM (SELECT l_orderkey AS o_orderkey, l_returnflag, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_quantity DESC, l_linenumber) AS n FROM lineitem) WHERE n = 1")
+def header_best_mapping(spark, sf_dir):
+    """The most confident row of each (sheet, field), the first on ties: orders are sheets, flags fields, quantities confidences."""
+    lines = table(spark, sf_dir, "lineitem")
+    rows = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("index"), F.col("l_returnflag").alias("field"), F.col("l_quantity").alias("confidence"))))
+    mapped = lines.groupBy(F.col("l_orderkey").alias("id")).agg(rows.alias("rows")).select("id", F.struct(F.lit("motor").alias("category"), F.col("rows").alias("rows")).alias("mapping"), F.lit(1000).alias("n_rows"))
+    best = extract.best_rows(mapped)
+    return best.select(F.col("id").alias("o_orderkey"), F.col("field").alias("l_returnflag"), F.col("index").alias("l_linenumber"), F.col("confidence").alias("l_quantity"))
+
+
+_OUTCOME = "CASE WHEN coalesce(quality, -1) = -1 THEN 'abstain' WHEN quality = CASE WHEN n_chars > 500 THEN 1 ELSE 0 END THEN 'correct' ELSE 'wrong' END"
+
+
+@query(f"""
+    SELECT lang, count(*) AS n, round(avg((o = 'correct')::INT), 6) AS correct, round(avg((o = 'abstain')::INT), 6) AS abstain, round(avg((o = 'wrong')::INT), 6) AS wrong,
+           round(coalesce(avg((o = 'correct')::INT) FILTER (WHERE o <> 'abstain'), 0), 6) AS correct_answered
+    FROM (SELECT lang, {_OUTCOME} AS o FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY lang
+""")
+def outcome_rates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    pred = F.coalesce(F.col("quality").cast("string"), F.lit("ambiguous"))
+    rows = docs.withColumn("o", metrics.outcome(pred, F.when(F.col("n_chars") > 500, "1").otherwise("0")))
+    o = F.col("o")
+    return rows.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), *[r6(metrics.rate(o == x)).alias(x) for x in ("correct", "abstain", "wrong")], r6(metrics.rate(F.when(o != "abstain", o == "correct"))).alias("correct_answered")
+    )
+
+
+_ANSWERED = "SELECT quality = 1 AS correct, 0.7::DOUBLE + (doc_id % 31) / 100.0::DOUBLE AS confidence FROM labels"
+_BINS = f"""
+    WITH answered AS ({_ANSWERED}), edges(lo, hi) AS (VALUES (0.0::DOUBLE, 0.8::DOUBLE), (0.8, 0.9), (0.9, 0.95), (0.95, 0.98), (0.98, 1.0001)),
+    bins AS (SELECT lo, least(hi, 1.0::DOUBLE) AS hi, count(*) AS n, avg(confidence) AS mean_conf, avg(correct::INT) AS accuracy FROM answered JOIN edges ON confidence >= lo AND confidence < hi GROUP BY lo, hi)
+"""
+
+
+def _answered(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("correct"), (F.lit(0.7) + (F.col("doc_id") % 31) / F.lit(100.0)).alias("confidence"))
+
+
+@query(f"{_BINS} SELECT lo, hi, n, round(mean_conf, 6) AS mean_conf, round(accuracy, 6) AS accuracy FROM bins")
+def calibration_bins(spark, sf_dir):
+    return metrics.calibration_bins(_answered(spark, sf_dir)).withColumns({c: r6(c) for c in ("mean_conf", "accuracy")})
+
+
+@query(f"{_BINS} SELECT round(sum(n * abs(mean_conf - accuracy)) / greatest((SELECT count(*) FROM answered), 1), 6) AS ece FROM bins")
+def ece(spark, sf_dir):
+    rows = _answered(spark, sf_dir)
+    return metrics.ece(metrics.calibration_bins(rows), rows).withColumn("ece", r6("ece"))
+
+
+@query("""
+    SELECT a.p_partkey AS anchor, b.p_partkey AS item, (a.p_brand = b.p_brand)::INT + (a.p_type = b.p_type)::INT + (a.p_size = b.p_size)::INT AS equal
+    FROM part a JOIN part b ON (a.p_brand = b.p_brand)::INT + (a.p_type = b.p_type)::INT + (a.p_size = b.p_size)::INT >= 2 WHERE a.p_partkey % 50 = 0
+""")
+def near_miss_pairs(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    anchors = part.where("p_partkey % 50 = 0").withColumnRenamed("p_partkey", "anchor")
+    return catalog.near_misses(anchors, part.withColumnRenamed("p_partkey", "item"), [], ["p_brand", "p_type", "p_size"], "anchor", "item")
+
+
+@query("SELECT p_brand, p_size, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids FROM part GROUP BY p_brand, p_size")
+def gold_lists(spark, sf_dir):
+    ids = F.array_sort(F.collect_list("p_partkey"))
+    return table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+
+
+_JUDGED = f"""
+    {_bm25_sql('SELECT item_id AS qid, text FROM benchmark', 50)},
+    flagged AS (SELECT r.qid, r.doc_id, r.rank, coalesce(quality = 1 AND toxic = 0, false) AS rel, coalesce(toxic = 1, false) AS hard FROM ranked r LEFT JOIN labels USING (doc_id)),
+    total AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS n, count(*) FILTER (WHERE toxic = 1) AS n_hard FROM labels),
+    per AS (
+        SELECT b.item_id AS qid, any_value(n) AS n, any_value(n_hard) AS n_hard,
+               count(*) FILTER (WHERE rel AND rank <= 50) AS h50, count(*) FILTER (WHERE rel AND rank <= 10) AS h10, count(*) FILTER (WHERE rel AND rank <= 5) AS h5,
+               count(*) FILTER (WHERE rel AND rank = 1) AS h1, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rel AND rank <= 10), 0) AS dcg, min(rank) FILTER (WHERE rel) AS first,
+               count(*) FILTER (WHERE rel) AS got, count(*) FILTER (WHERE hard) AS got_hard
+        FROM benchmark b CROSS JOIN total LEFT JOIN flagged f ON f.qid = b.item_id GROUP BY b.item_id
+    ),
+    wrong AS (SELECT r.qid, count(*) AS w FROM flagged r JOIN flagged h ON r.qid = h.qid AND r.rel AND h.hard AND h.rank < r.rank GROUP BY r.qid),
+    m AS (
+        SELECT per.qid, h50 / n::DOUBLE AS recall_50, h10 / n::DOUBLE AS recall_10, h1::DOUBLE AS p_1, h5 / 5.0::DOUBLE AS p_5,
+               dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= n) AS ndcg_10, coalesce(1.0::DOUBLE / first, 0) AS mrr,
+               coalesce((coalesce(w, 0) + (n - got) * got_hard) / nullif(n * n_hard - (n - got) * (n_hard - got_hard), 0)::DOUBLE, 0) AS misorder
+        FROM per LEFT JOIN wrong USING (qid)
+    )
+"""
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    queries = _benchmark_queries(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("rel"), (F.col("toxic") == 1).alias("hard"))
+    ranked = Workspace(spark, "judged").stage(bm25(_document_index(spark, sf_dir), queries, latin=True), "ranked")
+    totals = queries.select("qid").crossJoin(labels.agg(F.count_if("rel").alias("n"), F.count_if("hard").alias("n_hard")))
+    return metrics.retrieval_metrics(ranked.join(labels, "doc_id", "left"), totals)
+
+
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in metrics.METRICS)
+
+
+@query(f"WITH {_JUDGED} SELECT qid, {_ROUNDED} FROM m")
+def retrieval_metrics(spark, sf_dir):
+    return _judged(spark, sf_dir).select("qid", *[r6(c).alias(c) for c in metrics.METRICS])
+
+
+@query(f"WITH {_JUDGED} SELECT round(avg(misorder), 6) AS misorder, count(*) AS queries FROM m")
+def misorder(spark, sf_dir):
+    return _judged(spark, sf_dir).agg(r6(F.avg("misorder")).alias("misorder"), F.count(F.lit(1)).alias("queries"))
+
+
+@query(f"WITH {_JUDGED} SELECT lang, count(*) AS queries, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(mrr), 6) AS mrr FROM m LEFT JOIN (SELECT qid, lang FROM ranked JOIN documents USING (doc_id) WHERE rank = 1) USING (qid) GROUP BY lang")
+def metrics_by_lang(spark, sf_dir):
+    """Means by the language of each query's best document."""
+    ranked = bm25(_document_index(spark, sf_dir), _benchmark_queries(spark, sf_dir), k=1, latin=True)
+    lang = ranked.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("qid", "lang")
+    return metrics.mean_by(_judged(spark, sf_dir).join(lang, "qid", "left"), ["lang"], ["ndcg_10", "mrr"]).join(
+        _benchmark_queries(spark, sf_dir).join(lang, "qid", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("queries")).withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))
+    ).select("lang", "queries", r6("ndcg_10").alias("ndcg_10"), r6("mrr").alias("mrr"))
+
+
+@query("SELECT event_type, v[(len(v) * 0.5)::DOUBLE::INT + 1] AS p50, v[floor(len(v) * 0.95::DOUBLE)::INT + 1] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS v, FROM events WHERE value IS NOT NULL GROUP BY event_type)".replace("(len(v) * 0.5)::DOUBLE::INT", "len(v) // 2"))
+def latency_percentiles(spark, sf_dir):
+    return metrics.percentiles(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("SELECT round(avg((event_type = 'click' AND json_extract(props, '$.k')::DOUBLE = 24)::INT), 9) AS selectivity, count(*) AS n FROM events")
+def filter_selectivity(spark, sf_dir):
+    mask = (F.col("event_type") == "click") & extract.containment(F.col("props"), {"k": 24})
+    return table(spark, sf_dir, "events").agg(F.round(F.avg(mask.cast("double")), 9).alias("selectivity"), F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- sources, resuming, examples
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def resume_anti_join(spark, sf_dir):
+    return jsonl.remaining(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT count(*) AS missing, min(doc_id) AS first FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def missing_extractions(spark, sf_dir):
+    left = jsonl.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+    return left.agg(F.count(F.lit(1)).alias("missing"), F.min("doc_id").alias("first"))
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1")
+def last_wins_dedupe(spark, sf_dir):
+    return jsonl.last_wins(table(spark, sf_dir, "conversations"), ["conv_id"], "turn").select("conv_id", "turn", "role")
+
+
+@query("SELECT lang, source, doc_id, n FROM (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents) WHERE n <= 2")
+def first_examples(spark, sf_dir):
+    order = Window.partitionBy("lang", "source").orderBy("doc_id")
+    return table(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.row_number().over(order).cast("bigint").alias("n")).where("n <= 2")
+
+
+@query("SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS id, ['adapter', 'battery', 'led_driver', 'motor'][p_partkey % 4 + 1] AS category, NOT regexp_matches(p_name, '[^\\x00-\\x7F]') AS ascii FROM part")
+def round_robin_ids(spark, sf_dir):
+    category = F.get(F.array(*[F.lit(c) for c in ("adapter", "battery", "led_driver", "motor")]), F.pmod("p_partkey", F.lit(4)).cast("int"))
+    return table(spark, sf_dir, "part").select(F.format_string("P%06d", "p_partkey").alias("id"), category.alias("category"), F.col("p_name").rlike(r"^[\x00-\x7F]*$").alias("ascii"))
+
+
+# ---------------------------------------------------------------- the generated catalog
+
+
+def _catalog(spark) -> tuple[DataFrame, DataFrame]:
+    ws = Workspace(spark, "catalog")
+    sheets, queries = catalog.generate(spark)
+    return ws.stage(sheets, "sheets"), ws.stage(queries, "queries")
+
+
+@query()
+def catalog_sheets(spark, sf_dir):
+    return _catalog(spark)[0].select("id", "category", "supplier", "title", "style", F.size("rows").alias("rows"))
+
+
+@query()
+def catalog_queries(spark, sf_dir):
+    return _catalog(spark)[1].select("id", "category", "lang", "text", F.size("relevant").alias("relevant"), F.size("hard_negatives").alias("hard_negatives"))
+
+
+@query()
+def catalog_extraction(spark, sf_dir):
+    """Value accuracy of extractions by the offline header mapper."""
+    sheets, _ = _catalog(spark)
+    return metrics.value_accuracy(sheets, Workspace(spark, "extractions").stage(extract.extract(sheets), "extractions"))
+
+
+@query()
+def catalog_ablation(spark, sf_dir):
+    """The nine search variants over the generated catalog, with offline providers."""
+    ws = Workspace(spark, "ablation")
+    sheets, queries = _catalog(spark)
+    extractions = ws.stage(extract.extract(sheets), "extractions")
+    rows = ws.stage(index.sheet_texts(sheets, extractions), "sheets")
+    texts = ws.stage(index.stacked(rows, "id", {v: F.col(v) for v in index.VARIANTS}), "texts")
+    vectors = ws.stage(texts.select("field", "doc_id", dense.embed(F.col("text")).alias("embedding")), "vectors")
+    searcher = fusion.Searcher(index.build_index(texts, ws), texts, vectors)
+    asked, found = queries.select(F.col("id").alias("qid"), "text"), None
+    for v in metrics.VARIANTS:
+        got = ws.stage(searcher.run(v, asked).withColumn("variant", F.lit(v)), f"found-{v}")
+        found = got if found is None else found.unionByName(got)
+    out = metrics.ablation(found, queries)
+    return out.select("variant", *[r6(c).alias(c) for c in (*metrics.METRICS, "ndcg_10_en", "ndcg_10_zh")])
