@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from specweave.llm.common import BASE, mixed, shingle_hashes, word_hashes
 from specweave.llm.components import components
@@ -129,7 +130,7 @@ def _features(size: int):
     return run
 
 
-@F.arrow_udf("array<bigint>")
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def _keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for sig in batches:
         if not len(sig):
@@ -155,7 +156,7 @@ def _alike(percent: int):
     return run
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _short(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([folded(x, SKETCH_BITS // 8).tobytes() for x in batch.to_pylist()], pa.binary())
