@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from specweave.functions import segment
 from specweave.schemas import FIELD_KINDS
@@ -49,7 +50,7 @@ SUFFIXES = {
 }
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Unicode compatibility folding; Spark has no function for it."""
     for batch in batches:

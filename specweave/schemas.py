@@ -49,7 +49,14 @@ def spark_type(field: str) -> T.DataType:
 
 
 ATTRIBUTES = T.StructType([T.StructField(f, spark_type(f)) for f in FIELDS])
-ROW = T.StructType.fromDDL("header string, value string, field string, ambiguous boolean")
+S, I, D = T.StringType(), T.IntegerType(), T.DoubleType()
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+ROW = struct(header=S, value=S, field=S, ambiguous=T.BooleanType())
 SHEET = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("id", "category", "supplier", "title")]
     + [T.StructField("rows", T.ArrayType(ROW)), T.StructField("truth", ATTRIBUTES), T.StructField("style", T.StringType())]
@@ -58,8 +65,8 @@ QUERY = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("id", "category", "lang", "text")]
     + [T.StructField("constraints", ATTRIBUTES), T.StructField("relevant", T.ArrayType(T.StringType())), T.StructField("hard_negatives", T.ArrayType(T.StringType()))]
 )
-MAPPING = T.StructType.fromDDL("category string, rows array<struct<index: int, field: string, confidence: double>>")
-ERRORS = T.ArrayType(T.StructType.fromDDL("field string, raw string, error string"))
+MAPPING = struct(category=S, rows=T.ArrayType(struct(index=I, field=S, confidence=D)))
+ERRORS = T.ArrayType(struct(field=S, raw=S, error=S))
 EXTRACTION = T.StructType(
     [T.StructField("id", T.StringType()), T.StructField("mapping", MAPPING), T.StructField("attributes", ATTRIBUTES), T.StructField("normalization_errors", ERRORS)]
 )
