@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from specweave.functions.text import raw_text, short_number
 from specweave.schemas import CATEGORIES, FIELDS, QUERY_FIELDS, spark_type
+from specweave.workspace import Workspace
 
 # Voltages of each chemistry, and the domains of specs by category.
 CHEMISTRY_VOLTAGES = {"LiFePO4": [3.2, 6.4, 12.8, 25.6], "Li-ion": [3.7, 7.4, 11.1, 14.8], "LiPo": [3.7, 7.4, 11.1]}
@@ -350,9 +351,10 @@ def gold_queries(members: DataFrame, seed: int = SEED) -> DataFrame:
     return out.join(gold, "qid").select(F.col("qid").alias("id"), "category", "lang", "text", "constraints", "relevant", "hard_negatives")
 
 
-def generate(spark: SparkSession, per_category: int = FAMILIES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Sheets and queries of a catalog."""
+def generate(spark: SparkSession, per_category: int = FAMILIES, seed: int = SEED, ws: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sheets and queries of a catalog. With a workspace, families are written once for both."""
     members = families(spark, per_category, seed)
+    members = ws.stage(members, "members") if ws else members
     return render_sheets(members, Dice("id", seed=seed)), gold_queries(members, seed)
 
 

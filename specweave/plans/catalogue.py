@@ -526,7 +526,7 @@ def round_robin_ids(spark, sf_dir):
 
 def _catalog(spark) -> tuple[DataFrame, DataFrame]:
     ws = Workspace(spark, "catalog")
-    sheets, queries = catalog.generate(spark)
+    sheets, queries = catalog.generate(spark, ws=ws)
     return ws.stage(sheets, "sheets"), ws.stage(queries, "queries")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,12 +24,18 @@ class Workspace:
     """A folder of staged tables under :func:`shared_root`.
 
     ``stage`` cuts lineage with a written table (it survives lost executors);
-    ``drop`` removes a staged table once nothing reads it any more.
+    ``drop`` removes a staged table once nothing reads it any more. What is left,
+    as results read it, goes when the driver's process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._remove)
+
+    def _remove(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            self.drop("")
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         to = f"{self.path}/{name}"
@@ -38,7 +45,7 @@ class Workspace:
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
 
 
