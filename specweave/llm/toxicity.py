@@ -50,10 +50,11 @@ SAMPLE_ROWS = 8_000
 PREFIXES = range(4, 9)
 #: An entry is in this share of the toxic training documents, and in this many, at least; near copies count once.
 SHARE, LEAST = 0.01, 4
-#: Near copies share the smallest hash of their words that are in at most this share of the documents.
-RARE = 0.01
-#: Least log odds of an entry.
-ODDS = 3.0
+#: Near copies share the smallest hash of their words that are in at most these shares of the
+#: documents: the first sorts out small groups of copies, the second those of up to that share.
+RARE = (0.01, 0.4)
+#: Least log odds of an entry. Entries below this share of the largest need a document that no stronger one is in.
+ODDS, STRONG = 3.0, 0.6
 
 _LOOK = {ord(k): v for k, v in LOOKALIKES.items()} | {ord(c): None for c in INVISIBLE}
 _SIGNED = re.compile(r"(?:(?<=[^\W\d_])[0134578 9]|[0134578 9](?=[^\W\d_])|[@$!|](?=[^\W\d_]))".replace(" ", ""))
@@ -121,9 +122,9 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _codes(text: str) -> np.ndarray:
-    """20-bit codes of the text's distinct words."""
-    return np.unique(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) & 0xFFFFF for w in set(fold(text).split())], np.int32))
+def _codes(folded: str) -> np.ndarray:
+    """20-bit codes of a folded text's distinct words."""
+    return np.unique(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) & 0xFFFFF for w in set(folded.split())], np.int32))
 
 
 def learn(texts: list[str], y: np.ndarray, seeds: dict[str, float] | None = None, exceptions=()) -> Lexicon:
@@ -133,22 +134,29 @@ def learn(texts: list[str], y: np.ndarray, seeds: dict[str, float] | None = None
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     if not n_pos or not n_neg:
         return Lexicon(given, spared)
-    rarity, families = np.zeros(1 << 20, np.int32), []
-    for text in texts:
+    folded = [fold(t) for t in texts]
+    rarity = np.zeros(1 << 20, np.int32)
+    for text in folded:
         rarity[_codes(text)] += 1
-    for i, text in enumerate(texts):
+    groupings: list[list[int]] = [[] for _ in RARE]
+    for i, text in enumerate(folded):
         codes = _codes(text)
-        codes = codes[rarity[codes] <= max(2, RARE * len(texts))]
-        families.append(int(codes.min()) if len(codes) else -1 - i)
-    n_pos, n_neg = (len({f for f, v in zip(families, y) if v == label}) for label in (1, 0))
+        for share, families in zip(RARE, groupings):
+            rare = codes[rarity[codes] <= max(2, share * len(texts))]
+            families.append(int(rare.min()) if len(rare) else -1 - i)
+    n_pos, n_neg = (min(len({f for f, v in zip(families, y) if v == label}) for families in groupings) for label in (1, 0))
 
     def counted(label: int, parts) -> Counter:
-        """Families of documents of that label that have each part of a word."""
-        members: dict[int, list[str]] = {}
-        for text, family, v in zip(texts, families, y):
-            if v == label:
-                members.setdefault(family, []).append(text)
-        return Counter(x for own in members.values() for x in {x for t in own for w in set(fold(t).split()) for x in parts(w)})
+        """Families of documents of that label that have each part of a word: the fewest by any grouping."""
+        fewest: Counter | None = None
+        for families in groupings:
+            members: dict[int, set[str]] = {}
+            for text, family, v in zip(folded, families, y):
+                if v == label:
+                    members.setdefault(family, set()).update(text.split())
+            here = Counter(x for own in members.values() for x in {x for w in own for x in parts(w)})
+            fewest = here if fewest is None else Counter({k: n for k in here if (n := min(here[k], fewest[k]))})
+        return fewest
 
     def odds(p: int, n: int) -> float:
         return math.log((p + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
@@ -161,6 +169,14 @@ def learn(texts: list[str], y: np.ndarray, seeds: dict[str, float] | None = None
     for s, p in sorted(positive.items(), key=lambda x: (x[0][-1] == " ", len(x[0]), x[0])):  # a short beginning makes the longer ones needless
         if (w := odds(p, negative[s])) >= ODDS and not any(s[: n + 1] in entries for n in PREFIXES if n + 1 < len(s)):
             entries[s] = w
+    strong = {s for s, w in entries.items() if w >= STRONG * max(entries.values())}
+    alone: Counter = Counter()  # documents that no strong entry explains
+    for text, v in zip(folded, y):
+        if v == 1:
+            found = {s for w in set(text.split()) for s in parts(w) if s in entries}
+            if not found & strong:
+                alone.update(found)
+    entries = {s: w for s, w in entries.items() if s in strong or alone[s]}
     begun = lambda w: [f" {w} "] if any(f" {w[:n]}" in entries for n in PREFIXES if n <= len(w)) else []
     toxic = counted(1, begun)
     spared |= {s for s, n in counted(0, begun).items() if n >= 2 and odds(toxic[s], n) < 0}  # harmless words that begin as an entry does
