@@ -68,6 +68,12 @@ def plot(points: list[tuple[float, float]], x: tuple[float, float], y: tuple[flo
     return f'<svg viewBox="0 0 {width} {height}">{frame}{joined}{marks}{axes}</svg>'
 
 
+def bar(share: float, width: int = 120) -> str:
+    """A share as a filled part of a bar."""
+    full = round(width * max(0.0, min(1.0, share)))
+    return f'<svg viewBox="0 0 {width} 10"><rect width="{width}" height="10" fill="lightgrey"/><rect width="{full}" height="10"/></svg>'
+
+
 def reliability(bins: list[dict]) -> str:
     """Accuracy against confidence; the area of a point is its rows."""
     total = sum(b["n"] for b in bins) or 1
@@ -107,7 +113,7 @@ def page(report: dict) -> str:
     parts = []
     if e := report.get("extraction"):
         facts = [("", [k, percent(e[k]) if isinstance(e[k], float) else e[k]]) for k in ("rows", "mapping_accuracy_clear_headers", "wrong_rate_clear_headers", "value_accuracy", "value_total", "normalization_errors")]
-        parts += ["<h2>Extraction</h2>", grid(["measure", "value"], facts), reliability(e["calibration_bins"]), f"<p>ECE {three(e['ece'])}: {verdict(e['calibration_bins'])}</p>"]
+        parts += ["<h2>Extraction</h2>", grid(["measure", "value"], facts), reliability(e["calibration_bins"]), f"<p>{bar(e['value_accuracy'] or 0)} ECE {three(e['ece'])}: {verdict(e['calibration_bins'])}</p>"]
         parts.append(grid(["product", "header", "value", "truth", "said"], [("", [x["product"], x["header"], x["value"], x["truth"], x["pred"]]) for x in e["errors"][:10]]))
     if r := report.get("retrieval"):
         parts += ["<h2>Retrieval</h2>", ablation_table(r["variants"])]

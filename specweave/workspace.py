@@ -17,7 +17,9 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="specweave-")
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    # a path without a scheme is one of the default file system, for every reader of it
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 class Workspace:
