@@ -15,10 +15,10 @@ its texts and writes one shard. A shard is
 and appears under its name only when it is whole. Look-up reads the footer,
 asks the filter, finds the block by binary search and scans that block alone.
 
-Tokenizing keeps the ids of white-space separated chunks, as the vocabulary's
-pre-tokenizer never joins across white space; texts with characters outside
-Latin-1, with unusual control characters or with a special token's string take
-the library's whole path, so ids are always those of the library.
+Tokenizing keeps the ids of pieces (what the vocabulary's rules split a text
+into, each coded alone); the library's model codes each new piece once. Texts with characters outside Latin-1, with unusual control
+characters or with a special token's string, and vocabularies of other rules
+take the library's whole path, so ids are always those of the library.
 
 Defined results: a null text is an empty one and has the end id only; repeated
 identifiers are stored once each, ordered by text; rows without identifier
@@ -28,9 +28,14 @@ are not looked at.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
+import sys
+import types
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -47,40 +52,76 @@ MAGIC = b"SWTOKEN1"
 FOOTER = "<QQQQQQB7x8s"
 #: Bytes of a block before it is closed; bits of the Bloom filter for each key; its hash functions.
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 10, 7
-#: Most chunks whose ids a worker keeps; it begins anew beyond that.
-KEPT_CHUNKS = 200_000
+#: Pieces whose ids a worker keeps before the older ones make room; it holds twice as many at most.
+KEPT_PIECES = 250_000
+# The split pattern of the vocabularies that the piece path knows, and the same for Latin-1.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = "a-zªµºß-öø-ÿ"
+_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LATIN}]+|[0-9²³¹¼-¾]|[^\\s{_LATIN}0-9²³¹¼-¾]+")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Characters of Latin-1 as byte-level vocabularies spell their UTF-8 bytes: printable
+    bytes stand for themselves, the others for the characters from 256 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
+def _kept() -> list[dict]:
+    """Ids of pieces that this worker process has seen, newer and older; tasks of one worker share them."""
+    place = sys.modules.setdefault("specweave_worker_state", types.ModuleType("specweave_worker_state"))
+    return place.__dict__.setdefault("pieces", [{}, {}])
+
+
 class Encoder:
     """Ids of texts, with ``end`` appended, as little-endian bytes of ``width``."""
 
     def __init__(self, path: str, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 1 << 16 and end < 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
-        self.end, self.kept = np.array([end], self.kind).tobytes(), {}
+        self.code = "H" if self.width == 2 else "I"  # of the array module; executors are little-endian
+        self.end = np.array([end], self.kind).tobytes()
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        state = self.tokenizer.pre_tokenizer
-        self.by_chunk = state is not None and "".join(x for x, _ in state.pre_tokenize_str("a b")) == "ab"  # white space is dropped
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
+        rules = json.loads(self.tokenizer.to_str())
+        normal = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        pre = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_piece = (
+            rules["model"]["type"] == "BPE" and normal == ["NFC", "Replace", "Lowercase"] and len(pre) == 2 and pre[0].get("pattern") == {"Regex": SPLIT}
+            and pre[0]["behavior"] == "Removed" and pre[1]["type"] == "ByteLevel" and not pre[1]["use_regex"] and not pre[1]["add_prefix_space"]
+        )
+        self.kept = _kept()
+        if self.kept[0].get("") != path:  # another vocabulary's ids
+            self.kept[:] = [{"": path}, {}]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def add(self, pieces: list[str]) -> None:
+        """Codes pieces that the newer generation does not have."""
+        (new, old), code, tokenize = self.kept, self.code, self.model.tokenize
+        for piece in pieces:
+            found = old.get(piece)
+            if found is None:
+                found = array(code, [t.id for t in tokenize(piece if piece.isascii() else piece.translate(self.letters))]).tobytes()
+            new[piece] = found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        chunks = [t.split() if self.by_chunk and _PLAIN.fullmatch(t) and not self.special.search(t) else None for t in texts]
-        new = list({c for own in chunks if own is not None for c in own if c not in self.kept})
-        if len(self.kept) + len(new) > KEPT_CHUNKS:
-            self.kept.clear()
-            new = list({c for own in chunks if own is not None for c in own})
-        self.kept.update(zip(new, self.ids(new)))
-        whole = iter(self.ids([t for t, own in zip(texts, chunks) if own is None]))
-        kept = self.kept
-        return [(next(whole) if own is None else b"".join([kept[c] for c in own])) + self.end for own in chunks]
+        pieces = [_PARTS.findall(t.lower()) if self.by_piece and _PLAIN.fullmatch(t) and not self.special.search(t) else None for t in texts]
+        if len(self.kept[0]) > KEPT_PIECES:
+            self.kept[:] = [{"": self.kept[0][""]}, self.kept[0]]
+        kept = self.kept[0]
+        self.add([p for p in set().union(*(own for own in pieces if own is not None)) if p not in kept])
+        whole = iter(self.whole([t for t, own in zip(texts, pieces) if own is None]))
+        return [(next(whole) if own is None else b"".join(map(kept.__getitem__, own))) + self.end for own in pieces]
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -230,8 +271,8 @@ def write(docs: DataFrame, tokenizer: str, end: int, folder: str) -> DataFrame:
         with NewFile(path) as out:
             shard = ShardWriter(out, encoder.width)
             while batch is not None:
-                for at in range(0, len(batch), 64):
-                    part = batch.slice(at, 64)
+                for at in range(0, len(batch), 256):
+                    part = batch.slice(at, 256)
                     for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                         shard.add(key_of(doc_id), ids)
                 batch = next(batches, None)
