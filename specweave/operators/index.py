@@ -33,12 +33,15 @@ def build_index(texts: DataFrame, ws: Workspace, latin: bool = False, name: str
     tokens count among the documents. Postings are sorted by term within files,
     so look-ups skip row groups.
     """
-    tokens = ws.stage(texts.select("field", "doc_id", F.coalesce(tx.tokenize(F.col("text"), latin), F.array().cast("array<string>")).alias("tokens")), f"{name}-tokens")
-    docs = tokens.select("field", "doc_id", F.size("tokens").alias("len"))
-    counted = tokens.select("field", "doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len"))
-    postings = ws.stage(counted.sortWithinPartitions("field", "term"), f"{name}-postings")
-    terms = ws.stage(term_counts(postings), f"{name}-terms")
-    return Index(docs, postings, terms)
+    found = F.coalesce(tx.tokenize(F.col("text"), latin), F.array().cast("array<string>"))
+    tokens = texts.select("field", "doc_id", found.alias("tokens")).withColumn("len", F.size("tokens"))
+    tokens = ws.stage(tokens, f"{name}-tokens", by="field")
+    docs = tokens.select("field", "doc_id", "len")
+    counted = tokens.select("field", "doc_id", "len", F.explode("tokens").alias("term")).groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len"))
+    postings = ws.stage(counted.sortWithinPartitions("field", "term"), f"{name}-postings", by="field")
+    terms = ws.stage(term_counts(postings).sortWithinPartitions("field", "term"), f"{name}-terms", by="field")
+    names = {"postings": ["field", "term", "doc_id", "tf", "len"], "terms": ["field", "term", "df"]}
+    return Index(docs, postings.select(names["postings"]), terms.select(names["terms"]))
 
 
 def term_counts(postings: DataFrame) -> DataFrame:

@@ -39,9 +39,11 @@ class Workspace:
         if self.spark.sparkContext._jsc is not None:
             self.drop("")
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes a table, in folders by a column where one is given, and returns it as read again."""
         to = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(to)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
     def drop(self, *names: str) -> None:
