@@ -55,6 +55,8 @@ SHARE, LEAST = 0.01, 4
 RARE = (0.01, 0.4)
 #: Least log odds of an entry. Entries below this share of the largest need a document that no stronger one is in.
 ODDS, STRONG = 3.0, 0.6
+#: A longer beginning replaces a shorter one if it keeps this share of its toxic documents and is in fewer others.
+KEEP = 0.9
 
 _LOOK = {ord(k): v for k, v in LOOKALIKES.items()} | {ord(c): None for c in INVISIBLE}
 _SIGNED = re.compile(r"(?:(?<=[^\W\d_])[0134578 9]|[0134578 9](?=[^\W\d_])|[@$!|](?=[^\W\d_]))".replace(" ", ""))
@@ -71,7 +73,10 @@ def fold(text: str) -> str:
     if not t.isascii():
         if not unicodedata.is_normalized("NFKC", t):
             t = unicodedata.normalize("NFKC", t).lower()
-        t = t.translate(_LOOK)
+        if max(t) > "\xff":
+            t = t.translate(_LOOK)
+        elif "\xad" in t:
+            t = t.replace("\xad", "")
     if _ODD.search(t):
         last = None
         while last != t:  # a sign beside one that has just become a letter
@@ -135,26 +140,29 @@ def learn(texts: list[str], y: np.ndarray, seeds: dict[str, float] | None = None
     if not n_pos or not n_neg:
         return Lexicon(given, spared)
     folded = [fold(t) for t in texts]
+    coded = [_codes(text) for text in folded]
     rarity = np.zeros(1 << 20, np.int32)
-    for text in folded:
-        rarity[_codes(text)] += 1
+    for codes in coded:
+        rarity[codes] += 1
     groupings: list[list[int]] = [[] for _ in RARE]
-    for i, text in enumerate(folded):
-        codes = _codes(text)
+    for i, codes in enumerate(coded):
         for share, families in zip(RARE, groupings):
             rare = codes[rarity[codes] <= max(2, share * len(texts))]
             families.append(int(rare.min()) if len(rare) else -1 - i)
     n_pos, n_neg = (min(len({f for f, v in zip(families, y) if v == label}) for families in groupings) for label in (1, 0))
+    vocabulary = [{w for text, v in zip(folded, y) if v == label for w in text.split()} for label in (0, 1)]
 
     def counted(label: int, parts) -> Counter:
         """Families of documents of that label that have each part of a word: the fewest by any grouping."""
         fewest: Counter | None = None
+        having = {w: found for w in vocabulary[label] if (found := parts(w))}
+        words = having.keys()
         for families in groupings:
             members: dict[int, set[str]] = {}
             for text, family, v in zip(folded, families, y):
                 if v == label:
-                    members.setdefault(family, set()).update(text.split())
-            here = Counter(x for own in members.values() for x in {x for w in own for x in parts(w)})
+                    members.setdefault(family, set()).update([w for w in set(text.split()) if w in words])
+            here = Counter(x for own in members.values() for x in {x for w in own for x in having[w]})
             fewest = here if fewest is None else Counter({k: n for k in here if (n := min(here[k], fewest[k]))})
         return fewest
 
@@ -165,9 +173,13 @@ def learn(texts: list[str], y: np.ndarray, seeds: dict[str, float] | None = None
     parts = lambda w: [f" {w} ", *(f" {w[:n]}" for n in PREFIXES if len(w) >= n)]
     positive = {s: p for s, p in counted(1, parts).items() if p >= least}
     negative = counted(0, lambda w: [s for s in parts(w) if s in positive])
+    loose = {  # beginnings that a longer one replaces, which loses few toxic documents and some of the others
+        head for s, p in positive.items() for n in PREFIXES
+        if (head := s[: n + 1]) != s and p >= KEEP * positive.get(head, math.inf) and negative[s] < negative[head]
+    }
     entries: dict[str, float] = {}
     for s, p in sorted(positive.items(), key=lambda x: (x[0][-1] == " ", len(x[0]), x[0])):  # a short beginning makes the longer ones needless
-        if (w := odds(p, negative[s])) >= ODDS and not any(s[: n + 1] in entries for n in PREFIXES if n + 1 < len(s)):
+        if s not in loose and (w := odds(p, negative[s])) >= ODDS and not any(s[: n + 1] in entries for n in PREFIXES if n + 1 < len(s)):
             entries[s] = w
     strong = {s for s, w in entries.items() if w >= STRONG * max(entries.values())}
     alone: Counter = Counter()  # documents that no strong entry explains
