@@ -52,9 +52,10 @@ CATEGORY_FIELDS = {
 
 
 def map_headers(sheets: DataFrame, provider: Callable[[str, list[tuple[str, str]]], dict] = alias_mapper, workers: int = 8) -> DataFrame:
-    """(id, mapping, failure): the provider's mapping of each sheet, or why there is none.
+    """(id, mapping, usage, failure): the provider's mapping of each sheet, or why there is none.
 
-    The provider is called from ``workers`` threads in each task, as one that
+    A provider can tell its ``usage`` (tokens in and out) beside category and
+    rows. It is called from ``workers`` threads in each task, as one that
     asks a service waits most of the time. A failure is a row, not the job's end.
     """
     kind = schemas.MAPPING.simpleString()
@@ -71,9 +72,16 @@ def map_headers(sheets: DataFrame, provider: Callable[[str, list[tuple[str, str]
         with ThreadPoolExecutor(workers) as pool:
             for f in frames:
                 got = list(pool.map(one, f.title, f["rows"]))
-                yield pd.DataFrame({"id": f.id, "mapping": [g[0] for g in got], "failure": [g[1] for g in got]})
+                usage = [(g[0] or {}).pop("usage", None) for g in got]
+                yield pd.DataFrame({"id": f.id, "mapping": [g[0] for g in got], "usage": usage, "failure": [g[1] for g in got]})
 
-    return sheets.select("id", "title", F.coalesce("rows", F.array()).alias("rows")).mapInPandas(run, f"id string, mapping {kind}, failure string")
+    return sheets.select("id", "title", F.coalesce("rows", F.array()).alias("rows")).mapInPandas(run, f"id string, mapping {kind}, usage struct<input: bigint, output: bigint>, failure string")
+
+
+def usage_totals(mapped: DataFrame) -> DataFrame:
+    """One row: tokens that the provider took, and sheets that failed."""
+    total = lambda c: F.coalesce(F.sum(f"usage.{c}"), F.lit(0)).alias(c)
+    return mapped.agg(total("input"), total("output"), F.count_if(F.col("failure").isNotNull()).alias("failed"))
 
 
 def valid_mapping(mapping: Column) -> Column:

@@ -146,6 +146,8 @@ def test_failures_and_schema(spark):
         raise RuntimeError("no answer")
 
     assert extract.map_headers(sheet, broken).first().failure == "RuntimeError: no answer" and extract.extract(sheet, broken).count() == 0
+    told = extract.map_headers(sheet, lambda title, rows: extract.alias_mapper(title, rows) | {"usage": {"input": 7, "output": 2}})
+    assert tuple(extract.usage_totals(told).first()) == (7, 2, 0)
     good = {"category": "motor", "rows": [{"index": 0, "field": "plug", "confidence": 0.5}]}
     texts = [json.dumps(good), json.dumps(good | {"more": 1}), json.dumps({"category": "boat", "rows": []}), json.dumps({"category": "motor", "rows": [{"index": 0, "field": "colour", "confidence": 1}]}), "{", json.dumps({"category": "motor", "rows": [{"index": 0, "field": "plug", "confidence": 1, "x": 1}]})]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", extract.parse_mapping(F.col("t")).isNotNull().alias("ok")).collect()
