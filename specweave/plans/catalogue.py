@@ -479,7 +479,10 @@ def metrics_by_lang(spark, sf_dir):
     ).select("lang", "queries", r6("ndcg_10").alias("ndcg_10"), r6("mrr").alias("mrr"))
 
 
-@query("SELECT event_type, v[(len(v) * 0.5)::DOUBLE::INT + 1] AS p50, v[floor(len(v) * 0.95::DOUBLE)::INT + 1] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS v, FROM events WHERE value IS NOT NULL GROUP BY event_type)".replace("(len(v) * 0.5)::DOUBLE::INT", "len(v) // 2"))
+@query("""
+    SELECT event_type, v[len(v) // 2 + 1] AS p50, v[floor(len(v) * 0.95::DOUBLE)::INT + 1] AS p95
+    FROM (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)
+""")
 def latency_percentiles(spark, sf_dir):
     return metrics.percentiles(table(spark, sf_dir, "events"), "event_type", "value")
 

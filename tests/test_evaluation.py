@@ -54,6 +54,16 @@ def test_percentiles_by_index(spark, partitions):
     assert rows.where("k = 'a'").agg(metrics.at_index(F.col("x"), 0.95).alias("p")).first().p == 190.0
 
 
+def test_percentiles_against_sorting(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    groups = {"a": rng.normal(size=5000).tolist(), "b": rng.integers(0, 3, 4000).astype(float).tolist(), "c": [1.0, 2.0], None: [5.0] * 7}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, x double").repartition(5)
+    got = {r.k: (r.p50, r.p95) for r in metrics.percentiles(rows, "k", "x").collect()}
+    assert got == {k: tuple(sorted(vs)[int(len(vs) * s)] for s in (0.5, 0.95)) for k, vs in groups.items()}
+
+
 def test_calibration(spark):
     rows = spark.createDataFrame([(0.85, True), (0.85, False), (0.99, True), (0.0, False)], "confidence double, correct boolean")
     bins = metrics.calibration_bins(rows).persist()
