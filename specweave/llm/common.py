@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words in the contracts of this subpackage: 0x20 and 0x09-0x0D.
@@ -16,6 +16,20 @@ MIX = 0xD6E8FEB86659FD93
 U64 = (1 << 64) - 1
 
 
+#: Most rows and bytes of an Arrow batch: executors hold several batches of texts at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, which are large for texts by default; never raises a smaller bound."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(size[-1:], 1)
+    if int(size.rstrip("kmg")) * unit > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def fold_of(column: str, parts: int):
     """Rows' fold: crc32 of the identifier as text, modulo ``parts`` (-1 where it is null)."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts)), F.lit(-1))

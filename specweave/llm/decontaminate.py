@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import BASE, mixed, word_hashes
+from specweave.llm.common import BASE, mixed, small_batches, word_hashes
 from specweave.workspace import Workspace
 
 SEED = 5
@@ -132,6 +132,7 @@ def _verdicts(rows: list[dict]) -> pa.Array:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text", into: str = "leak", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Adds ``into``: whether and by which items a text is contaminated."""
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_id is not null and item_text is not null")
     if (items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) > broadcast_bytes:
         return _joined(docs, items, coverage, text, into)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import BASE, labelled_sample, mixed, pieces, powers
+from specweave.llm.common import BASE, labelled_sample, mixed, pieces, powers, small_batches
 
 #: Most labelled documents that the model is trained on.
 SAMPLE_ROWS = 4_000
@@ -127,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, rows:
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "quality_score") -> DataFrame:
     """Adds ``into``: probability of label 1. No shuffle; one pass over whole texts."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.logits, model.bias))
 
     @F.arrow_udf("double")

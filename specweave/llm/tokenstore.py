@@ -45,6 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from specweave.llm.common import small_batches
 from specweave.llm.files import NewFile, open_random
 from specweave.workspace import Workspace
 
@@ -305,6 +306,7 @@ def read(shards: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     """Writes the documents' shards to the shared folder and reads them back."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     ws = Workspace(spark, "tokenstore")
     shards = ws.stage(write(docs, tokenizer, end, f"{ws.path}/sst"), "shards")  # a row for each shard
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

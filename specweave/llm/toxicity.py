@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import labelled_sample, logistic
+from specweave.llm.common import labelled_sample, logistic, small_batches
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -206,6 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, rows:
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", into: str = "toxicity") -> DataFrame:
     """Adds ``into``: struct of score, matches, words. No shuffle; one pass over whole texts."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((lexicon.entries, lexicon.exceptions, lexicon.curve))
 
     @F.arrow_udf("struct<score: double, matches: int, words: int>")

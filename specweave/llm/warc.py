@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from specweave.llm.common import small_batches
 from specweave.llm.files import NewFile, open_stream
 from specweave.workspace import Workspace
 
@@ -173,6 +174,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def archive(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """Writes the pages' archives to the shared folder and reads them back."""
+    small_batches(pages.sparkSession)
     ws = Workspace(pages.sparkSession, "warc")
     paths = write(resolve(pages, ws, least), f"{ws.path}/archives")
     ws.drop("headers", "originals", "revisits")
