@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specweave.llm.common import BASE, mixed, shingle_hashes, word_hashes
+from specweave.llm.common import BASE, mixed, shingle_hashes, small_batches, word_hashes
 from specweave.llm.components import components
 from specweave.workspace import Workspace
 
@@ -162,13 +162,21 @@ def _short(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([folded(x, SKETCH_BITS // 8).tobytes() for x in batch.to_pylist()], pa.binary())
 
 
-def _sets(size: int):
-    @F.arrow_udf("array<bigint>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            sets = [shingle_set(texts[i].as_py(), size).view(np.int64) for i in range(len(texts))]
-            ends = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+def _linked(size: int, percent: int):
+    """Whether two texts' full sets are similar enough."""
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for one, two in batches:
+            out, last, held = [], None, None
+            for i in range(len(one)):
+                a, b = one[i].as_py(), two[i].as_py()
+                if a != last:  # a leader's pairs often stand together
+                    last, held = a, shingle_set(a, size)
+                other = shingle_set(b, size)
+                shared = len(np.intersect1d(held, other, assume_unique=True))
+                out.append(100 * shared >= percent * (len(held) + len(other) - shared))
+            yield pa.array(out, pa.bool_())
 
     return run
 
@@ -233,6 +241,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id: str =
     are linked; ``component_id`` is the smallest identifier reachable.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ws = Workspace(spark, "neardup")
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     features = ws.stage(source.mapInArrow(_features(size), "id long, n long, digest binary, sig binary, sketch binary"), "features")
@@ -244,31 +253,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id: str =
         """The order that a key's leader is first in; keys of one order tend to agree on it."""
         return F.xxhash64("rep", F.pmod("key", F.lit(64)) % ORDERS, F.lit(number))
 
-    def told(pairs: DataFrame, column: str) -> DataFrame:
-        """Adds class size and sketch of each end; sizes first, as they rule most pairs out."""
+    def only(df: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+        """Nearly only the rows of ``df`` that the pairs need, so that most are not shuffled: a bounded set of hashes is broadcast."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).select(F.pmod(F.xxhash64("x"), F.lit(WANTED)).alias("w")).distinct()
+        return df.join(F.broadcast(wanted), F.pmod(F.xxhash64(df[column]), F.lit(WANTED)) == F.col("w"), "left_semi")
+
+    def told(pairs: DataFrame, classes: DataFrame, column: str) -> DataFrame:
+        """Adds a column of the class of each end."""
         for c in "ab":
-            pairs = pairs.join(reps.select(F.col("rep").alias(c), F.col(column).alias(f"{column}_{c}")), c)
+            pairs = pairs.join(classes.select(F.col("rep").alias(c), F.col(column).alias(f"{column}_{c}")), c)
         return pairs
 
     def candidates(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, differ): the pairs whose sizes and sketches allow the similarity."""
-        sized = told(pairs, "n").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        differ = told(sized, "sketch").select("a", "b", alike("sketch_a", "sketch_b", F.col("n_a") + F.col("n_b")).alias("differ"))
-        return ws.stage(differ.where("differ >= 0"), name)
+        """(a, b, differ): the pairs whose sizes and sketches allow the similarity. Sizes come first, as they rule most pairs out."""
+        sized = told(pairs, reps, "n").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        sized = ws.stage(sized, f"{name}-sized")
+        sketched = told(sized, only(reps.select("rep", "sketch"), sized, "rep"), "sketch")
+        differ = sketched.select("a", "b", alike("sketch_a", "sketch_b", F.col("n_a") + F.col("n_b")).alias("differ"))
+        near = ws.stage(differ.where("differ >= 0"), name)
+        ws.drop(f"{name}-sized")
+        return near
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs (a, b): those whose full sets are similar enough."""
-        ids = ws.stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
-        wanted = ids.select(F.pmod(F.xxhash64("id"), F.lit(WANTED)).alias("w")).distinct()  # keeps most other texts from being shuffled
-        texts = source.join(F.broadcast(wanted), F.pmod(F.xxhash64(source["id"]), F.lit(WANTED)) == F.col("w"), "left_semi")
-        sets = ws.stage(texts.join(ids, "id", "left_semi").select("id", _sets(size)("text").alias("s")), f"{name}-sets")
+        """Of pairs (a, b): those whose full sets are similar enough. Texts are shuffled, as they compress and sets do not."""
+        texts = ws.stage(only(source, pairs, "id"), f"{name}-texts")
         both = pairs.select("a", "b")
-        for c in "ab":
-            both = both.join(sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}")), c)
-        shared = F.size(F.array_intersect("s_a", "s_b"))
-        links = both.where(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b").distinct()
-        links = ws.stage(links, f"{name}-links")
-        ws.drop(f"{name}-ids", f"{name}-sets")
+        for c in "ba":
+            both = both.join(texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")), c)
+        links = ws.stage(both.where(_linked(size, percent)("text_a", "text_b")).select("a", "b").distinct(), f"{name}-links")
+        ws.drop(f"{name}-texts")
         return links
 
     steps: list[DataFrame] = []  # each maps roots of the components so far to larger ones' roots
