@@ -27,12 +27,18 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Of repeated rows of one doc_id one stays; rows without doc_id all stay.
     """
     ws = Workspace(spark, "dedup")
-    kept = neardup.near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null")
-    kept = ws.stage(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")), "kept")
-    out = docs.where("doc_id is null").unionByName(docs.join(kept.where("__rows = 1").select("doc_id"), "doc_id", "left_semi"))
-    if not kept.where("__rows > 1").isEmpty():
-        again = docs.join(kept.where("__rows > 1").select("doc_id"), "doc_id", "left_semi")
-        out = out.unionByName(again.dropDuplicates(["doc_id"]))
+    told = ws.stage(neardup.near_duplicates(docs, size=5, percent=80).where("doc_id is not null").select("doc_id", "kept"), "told")
+    removed = told.where("not kept").select("doc_id").distinct()
+    # most texts need no shuffle: only those whose hash is that of a removed row are joined with the removed rows
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(neardup.WANTED))
+    hashes = F.broadcast(removed.select(place.alias("__place")).distinct())
+    clear = docs.join(hashes, place == F.col("__place"), "left_anti")
+    doubtful = docs.join(hashes, place == F.col("__place"), "left_semi").join(removed, "doc_id", "left_anti")
+    out = clear.unionByName(doubtful.select(docs.columns))
+    again = ws.stage(told.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("doc_id"), "again")
+    if not again.isEmpty():
+        once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
     return out.select(docs.columns)
 
 
