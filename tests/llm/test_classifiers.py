@@ -187,3 +187,21 @@ def test_probabilities_against_a_plain_model(model):
     for k, lang in enumerate(m.langs):
         expected = -np.mean([np.log(probability(lang, g, 4)) for g in grams(text)])
         assert got[0, k] == pytest.approx(expected, rel=1e-4), lang
+
+
+def test_rare_sequences_stay_in_large_languages(spark):
+    import pandas as pd
+
+    big, rare = "ab cd " * 100_000, "wxyz vwxyz"
+    rows = spark.range(20).select(F.col("id").alias("doc_id"), F.lit(big).alias("text"), F.lit("aa").alias("lang"))
+    rows = rows.union(spark.createDataFrame([(20, rare, "aa"), (21, "ab ef gh", "bb")], "doc_id long, text string, lang string"))
+    m = langid.fit(rows, F.lit(True))
+    table = []
+    for lang, text, times in (("aa", big, 20), ("aa", rare, 1), ("bb", "ab ef gh", 1)):
+        seq, n = np.unique(langid.sequences(langid.letters(text)), return_counts=True)
+        table += [(lang, s, c * times) for s, c in zip(seq.view(np.int64), n)]
+    whole = langid.Model.of(pd.DataFrame(table, columns=["lang", "seq", "n"]).groupby(["lang", "seq"], as_index=False).sum())
+    assert sum(n for lang, _, n in table if lang == "aa") > 10_000_000 and m.langs == ["aa", "bb"]
+    for got, want in zip(m.levels, whole.levels):  # discounts and continuation counts of the whole table
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+    assert m.log_p(langid.sequences(langid.letters("xyz"))[-1:])[0, 0] > m.log_p(langid.sequences(langid.letters("qqq"))[-1:])[0, 0]
