@@ -5,7 +5,9 @@ centres (four bits). Codes and centres minimise an anisotropic loss, which
 weighs the error parallel to a vector ETA times as much as that across it, as
 parallel error is what changes large inner products. A scan adds up looked-up
 partial products, two codes a byte; the best RERANK of each block of rows are
-scored exactly in double precision on the original vectors.
+scored exactly in double precision on the original vectors, and so is every
+other row whose scanned product, by the length of its coding error, can still
+reach the last place. So the result is that of a search of all rows.
 
 Centres are fitted on at most SAMPLE_ROWS vectors (smallest identifier
 hashes); every vector is coded and scanned. Rows and queries are dealt in
@@ -103,6 +105,45 @@ def scan(queries: np.ndarray, packed: np.ndarray, centres: np.ndarray) -> np.nda
     return out
 
 
+def decode(packed: np.ndarray, centres: np.ndarray, width: int) -> np.ndarray:
+    """The vectors that the codes stand for."""
+    codes = np.stack((packed & 15, packed >> 4), 2).reshape(len(packed), -1)
+    return centres[np.arange(centres.shape[0])[None], codes].reshape(len(packed), -1)[:, :width]
+
+
+def nearest(own: np.ndarray, x: np.ndarray, rep: np.ndarray, codes: np.ndarray, centres: np.ndarray, apart: np.ndarray, n: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query, the places and products of the n rows of largest exact product, ties by ``rep``.
+
+    ``apart`` has the rows' distances from their codes' vectors. A row's product
+    is at most the scanned one and that distance times the query's length.
+    """
+    rerank = max(rerank, n)
+    if len(x) <= rerank:
+        head, more = np.broadcast_to(np.arange(len(x)), (len(own), len(x))), None
+        exact = np.einsum("qrd,qd->qr", x[head], own)
+    else:
+        scanned = scan(own, codes, centres)
+        head = np.argpartition(-scanned, rerank - 1, axis=1)[:, :rerank]
+        exact = np.einsum("qrd,qd->qr", x[head], own)
+        least = np.partition(exact, rerank - n, axis=1)[:, rerank - n, None]
+        size, longest = np.linalg.norm(own, axis=1)[:, None], np.linalg.norm(x, axis=1)
+        # rounding in single precision: far below 1e-5 of the lengths; what is not a number stays in
+        more = ~(scanned + size * (apart + 1e-5 * (longest + apart)) < least)
+        np.put_along_axis(more, head, False, 1)
+        some = np.flatnonzero(more.any(axis=0))
+        for at in range(0, len(some), 2048):
+            rows = some[at : at + 2048]
+            more[:, rows] &= ~(own @ x[rows].T + 1e-9 * size * longest[rows] < least)
+    for i in range(len(own)):
+        place, score = head[i], exact[i]
+        if more is not None and more[i].any():
+            rows = np.flatnonzero(more[i])
+            place = np.concatenate((place, rows))
+            score = np.concatenate((score, np.einsum("qrd,qd->qr", x[rows][None], own[i : i + 1])[0]))
+        best = np.lexsort((rep[place], -score))[:n]
+        yield place[best], score[best]
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
@@ -167,17 +208,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id"
             return pa.table({"query_id": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         rep, x, codes = rows["rep"].to_numpy(), _matrix(rows["vec"], np.float64, d), _matrix(rows["code"], np.uint8, -(-d // 4))
         asker, q = queries["query_id"].to_numpy(), _matrix(queries["vec"], np.float64, d)
+        apart = np.linalg.norm(x - decode(codes, sent.value, d), axis=1)
         out = []
         for at in range(0, len(q), 256):
-            own = q[at : at + 256]
-            if len(x) > rerank:
-                head = np.argpartition(-scan(own, codes, sent.value), rerank - 1, axis=1)[:, :rerank]
-            else:
-                head = np.broadcast_to(np.arange(len(x)), (len(own), len(x)))
-            exact = np.einsum("qrd,qd->qr", x[head], own)
-            best = np.lexsort((rep[head], -exact), axis=1)[:, : k + 1]
-            picked = np.take_along_axis(head, best, 1)
-            out.append((np.repeat(asker[at : at + 256], best.shape[1]), rep[picked].reshape(-1), np.take_along_axis(exact, best, 1).reshape(-1)))
+            for query, (place, score) in zip(asker[at : at + 256], nearest(q[at : at + 256], x, rep, codes, sent.value, apart, k + 1, rerank)):
+                out.append((np.full(len(place), query), rep[place], score))
         return pa.table(dict(zip(("query_id", "rep", "score"), (pa.array(np.concatenate(c)) for c in zip(*out)))))
 
     near = base.groupBy("row_block", "query_block").cogroup(asked.groupBy("row_block", "query_block")).applyInArrow(compare, "query_id long, rep long, score double")

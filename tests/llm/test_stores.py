@@ -192,3 +192,20 @@ def test_anisotropic_codes_have_less_parallel_error():
     codes = np.stack((packed & 15, packed >> 4), 2).reshape(len(x), -1)
     made = centres[np.arange(centres.shape[0])[None], codes].reshape(len(x), -1)[:, :16]
     assert np.allclose(ann.scan(x[:5], packed, centres), x[:5] @ made.T, atol=1e-4)
+
+
+def crowded(n=ann.ROW_BLOCK, d=64, group=0, jitter=1e-3, seed=4):
+    """Unit vectors; the first ``group`` are near copies of one."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    x[:group] = x[0] + jitter * rng.normal(size=(group, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_search_among_near_copies(spark):
+    x = crowded(group=2730)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id").isin(0, 500, 2000, 3000, 8000)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == 5 and all(got[q] == {i for i, _ in top(x, np.arange(len(x)), q)} for q in got)
