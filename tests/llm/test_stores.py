@@ -202,6 +202,20 @@ def crowded(n=ann.ROW_BLOCK, d=64, group=0, jitter=1e-3, seed=4):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+@pytest.mark.parametrize("group, jitter", [(0, 0.0), (2730, 1e-3), (2730, 1e-2)])
+def test_recall_on_a_full_block(group, jitter):
+    """RERANK of ROW_BLOCK rows as in production; queries in the group and outside it."""
+    x = crowded(group=group, jitter=jitter)
+    assert len(x) == ann.ROW_BLOCK == 8192 and ann.RERANK == 256
+    centres, rep = ann.fit(x), np.arange(len(x))[::-1].copy()
+    codes = ann.encode(x, centres)
+    apart = np.linalg.norm(x - ann.decode(codes, centres, x.shape[1]), axis=1)
+    q = x[np.r_[0:2700:90, 2730:8190:182]]
+    for own, (place, score) in zip(q, ann.nearest(q, x, rep, codes, centres, apart, 21, ann.RERANK)):
+        s = np.einsum("rd,d->r", x, own)
+        assert list(place) == list(np.lexsort((rep, -s))[:21]) and np.allclose(score, s[place], rtol=1e-12)
+
+
 def test_search_among_near_copies(spark):
     x = crowded(group=2730)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
