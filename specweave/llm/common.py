@@ -108,18 +108,35 @@ def pieces(raw: bytes, limit: int = 1 << 20):
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of the bytes, in order. Words are runs without SPACES."""
-    out = []
+    """A 64-bit hash of each word of the bytes, in order. Words are runs without SPACES, of any length."""
+    out, held, size = [], np.uint64(0), 0  # sum and length of a word that goes on in the next piece
+
+    def close() -> None:
+        if size:
+            out.append(mixed(np.array([held], np.uint64) + np.uint64(size)))
+
     for part in pieces(raw):
         b = np.frombuffer(part, np.uint8)
         gap = (b == 32) | ((b >= 9) & (b <= 13))
         edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
         start, end = edge[::2], edge[1::2]
+        if size and (not len(start) or start[0]):
+            close()
+            held, size = np.uint64(0), 0
         if not len(start):
             continue
         up, down = powers(len(b) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
-        out.append(mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
+        value, length = (sums[end] - sums[start]) * down[start], (end - start).astype(np.uint64)
+        if size:
+            value[:1] = value[:1] * np.uint64(pow(BASE, size, 1 << 64)) + held
+            length[0] += np.uint64(size)
+        held, size = np.uint64(0), 0
+        if end[-1] == len(b):
+            held, size = value[-1], int(length[-1])
+            value, length = value[:-1], length[:-1]
+        out.append(mixed(value + length))
+    close()
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -205,3 +205,11 @@ def test_rare_sequences_stay_in_large_languages(spark):
     for got, want in zip(m.levels, whole.levels):  # discounts and continuation counts of the whole table
         assert all(np.array_equal(a, b) for a, b in zip(got, want))
     assert m.log_p(langid.sequences(langid.letters("xyz"))[-1:])[0, 0] > m.log_p(langid.sequences(langid.letters("qqq"))[-1:])[0, 0]
+
+
+def test_a_word_longer_than_a_piece_is_one_word():
+    blob = b"q" * 1_500_000
+    words = word_hashes(b"x " + blob + b" y")
+    assert len(words) == 3 and words[0] == word_hashes(b"x")[0] and words[2] == word_hashes(b"y")[0]
+    assert len(word_hashes(blob)) == 1 and word_hashes(blob)[0] == words[1] != word_hashes(blob + b"z")[0]
+    assert len(word_hashes(blob + b" " + blob * 2 + b"\n")) == 2
