@@ -5,10 +5,10 @@ chooses the bucket boundaries for which padding every document to its bucket's
 boundary adds the fewest tokens. Within a bucket, documents in order fill
 batches of as many rows as the token budget holds at the boundary's length.
 
-The histogram has a bounded number of bins at any size of the input: lengths
-up to 2 * BINS are exact, longer ones are rounded up to 1/BINS of their octave.
-The programme is exact over those bins (lines of falling slope asked at rising
-lengths: linear in the bins for each bucket).
+The histogram has every distinct length, unrounded: d of them need d * d / 2
+words of text, so what is gathered grows with the root of the input at most.
+The programme is exact (lines of falling slope asked at rising lengths: linear
+in the distinct lengths for each bucket).
 
 Documents are numbered without gathering a bucket: each bucket is cut into
 shards of about SHARD rows by hash, rows are numbered in their shard, and the
@@ -40,7 +40,7 @@ def words(text: Column) -> Column:
 
 
 def binned(length: Column) -> Column:
-    """The upper edge of the length's bin."""
+    """The upper edge of the length's bin: exact up to 2 * BINS, then rounded up to 1/BINS of its octave. ``pack`` does not round."""
     octave = F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("long") - int(np.log2(BINS)), F.lit(0))
     step = F.pow(F.lit(2.0), octave).cast("long")
     return (F.ceil(length / step) * step).cast("long")
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, length: Column, budget: int = BUDGET, buckets: int = B
     """(id, n_tokens, bucket, bucket_len, batch_id, slot), a row for each row of ``docs``."""
     ws = Workspace(docs.sparkSession, "packing")
     slim = ws.stage(docs.select(F.col(id).alias("id"), length.cast("long").alias("n")), "lengths")
-    histogram = sorted((r.bin, r.n) for r in slim.groupBy(binned(F.col("n")).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect())
+    histogram = sorted((r.n, r.rows) for r in slim.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect())
     at, counts = (np.array([h[i] for h in histogram], np.int64) for i in (0, 1))
     edges = boundaries(at, counts, buckets) or [0]
     held = np.bincount(np.searchsorted(edges, at), weights=counts, minlength=len(edges)).astype(np.int64) if len(at) else np.zeros(1, np.int64)

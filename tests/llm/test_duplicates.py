@@ -259,3 +259,11 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "x"), (3, None)], "doc_id long, text string")
     got = corpus_pipeline.without_near_duplicates(spark, df, "").collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "3", "None"]
+
+
+def test_boundaries_are_exact_lengths(spark):
+    lengths = [5461] * 6 + [3000, 3001, 2999, 7001, 7003]
+    got = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long"), F.col("n"), buckets=3).collect()
+    at, n = np.unique(lengths, return_counts=True)
+    assert sorted({r.bucket_len for r in got}) == packing.boundaries(at, n, 3) == [3001, 5461, 7003]
+    assert sorted(r.slot for r in got if r.n_tokens == 5461) == [0, 0, 1, 1, 2, 2]  # 16384 // 5461 rows a batch
