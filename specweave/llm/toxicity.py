@@ -22,8 +22,10 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +61,11 @@ ODDS, STRONG = 3.0, 0.6
 KEEP = 0.9
 
 _LOOK = {ord(k): v for k, v in LOOKALIKES.items()} | {ord(c): None for c in INVISIBLE}
-_SIGNED = re.compile(r"(?:(?<=[^\W\d_])[0134578 9]|[0134578 9](?=[^\W\d_])|[@$!|](?=[^\W\d_]))".replace(" ", ""))
+_LETTERS = str.maketrans(SIGNS)
+# Letters with the signs that they turn into letters: digits on either side, other signs before
+# them, and so on from each that has become one. Possessive and tied to the start of a run of
+# signs, so that it takes linear time on any text.
+_SIGNED = re.compile(r"(?<![013-57-9@$!|])[013-57-9@$!|]*+[^\W\d_](?:[^\W\d_]|[013-57-9]|[013-57-9@$!|]++[^\W\d_])*+")
 _ODD = re.compile(r"[0-9@$!|]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -78,9 +84,7 @@ def fold(text: str) -> str:
         elif "\xad" in t:
             t = t.replace("\xad", "")
     if _ODD.search(t):
-        last = None
-        while last != t:  # a sign beside one that has just become a letter
-            last, t = t, _SIGNED.sub(lambda m: SIGNS[m[0]], t)
+        t = _SIGNED.sub(lambda m: m[0].translate(_LETTERS), t)
     return f" {' '.join(_WORD.findall(t))} ".replace("l", "i")
 
 
@@ -108,18 +112,20 @@ class Lexicon:
         if not text:
             return 0.0, 0, 0
         folded = fold(text)
-        words = folded.count(" ") - 1
+        words = folded.count(" ") - 1 if folded != "  " else 0
         if not len(machine):
-            return 0.0, 0, max(words, 0)
+            return 0.0, 0, words
         hits, spared = [], []
         for end, (n, weight) in machine.iter(folded):
             (spared if weight is None else hits).append((end - n + 1, end + 1, weight))
         if spared and hits:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+            spared.sort()
+            starts, reach = [a for a, *_ in spared], list(accumulate((b for _, b, _ in spared), max))  # how far those that begin so early reach
+            hits = [h for h in hits if not (n := bisect_right(starts, h[0])) or reach[n - 1] < h[1]]
         best: dict[int, float] = {}
         for start, _, weight in hits:  # entries that begin at one place are one match
             best[start] = max(weight, best.get(start, weight))
-        return sum(best.values()), len(best), max(words, 0)
+        return sum(best.values()), len(best), words
 
     def score(self, total: float, words: int) -> float:
         a, b, c = self.curve
