@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specweave.workspace import Workspace
+
 #: Bytes that separate words in the contracts of this subpackage: 0x20 and 0x09-0x0D.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Odd multipliers of the rolling hashes.
@@ -18,6 +21,8 @@ U64 = (1 << 64) - 1
 
 #: Most rows and bytes of an Arrow batch: executors hold several batches of texts at a time.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+#: Most bytes of text that a sample on the driver has.
+SAMPLE_BYTES = 64 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -35,29 +40,51 @@ def fold_of(column: str, parts: int):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts)), F.lit(-1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, rows: int):
+def bounded_rows(docs: DataFrame, wanted: DataFrame, columns: list[str], id: str, most: int) -> pa.Table:
+    """On the driver: for each identifier of ``wanted`` (few rows) one row of ``docs``, the least by
+    ``columns``, of which the first is a text, in order of the identifiers' hashes. Rows whose
+    texts would pass ``most`` bytes together are left out, so neither repeated
+    identifiers nor long texts make the result larger than that.
+    """
+    ws = Workspace(docs.sparkSession, "sample")
+    least = docs.select(id, F.struct(*columns).alias("__row")).join(F.broadcast(wanted), id).groupBy(*wanted.columns).agg(F.min("__row").alias("__row"))
+    least = ws.stage(least.select(*wanted.columns, "__row.*", F.octet_length(f"__row.{columns[0]}").alias("__bytes"), F.xxhash64(id).alias("__hash")), "rows")
+    sizes = sorted((r["__hash"], r[id], r["__bytes"]) for r in least.select("__hash", id, "__bytes").collect())
+    taken, total = [], 0
+    for _, key, n in sizes:
+        if total + n <= most:
+            total += n
+            taken.append(key)
+    if len(taken) < len(sizes):
+        least = least.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in taken], wanted.select(id).schema)), id)
+    got = least.drop("__bytes").toArrow()
+    ws.drop("")
+    return got.sort_by([("__hash", "ascending"), (id, "ascending")]).drop_columns(["__hash"])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, rows: int, most: int = SAMPLE_BYTES):
     """At most ``rows`` labelled training documents as ``(texts, labels)`` on the driver.
 
     Rows whose fold is ``held`` never take part. A document labelled more than
-    once counts with its largest label. The sample is the ``rows`` documents of
-    smallest identifier hash, so it is the same for any partitioning; repeated
-    texts count once. ``rows`` is what bounds the driver's memory.
+    once counts with its largest label, an identifier of several texts with the
+    first of them. The sample is the documents of smallest identifier hash, so
+    it is the same for any partitioning; repeated texts count once. ``rows``
+    and ``most`` bytes of text are what bounds the driver's memory.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", parts) != held))
-        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+        .groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    texts, y = got.column("text").to_pylist(), got.column("label").to_pylist()
+    got = bounded_rows(docs.where(F.col("text").isNotNull()), ids, ["text"], "doc_id", most).sort_by("doc_id")
+    texts, y = got.column("text").to_pylist(), got.column("__label").to_pylist()
     seen, out_t, out_y = set(), [], []
-    for i in order:
-        key = hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    for text, own in zip(texts, y):
+        key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key not in seen:
             seen.add(key)
-            out_t.append(texts[i])
-            out_y.append(y[i])
+            out_t.append(text)
+            out_y.append(own)
     return out_t, np.array(out_y, dtype=np.float64)
 
 
@@ -96,12 +123,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def pieces(raw: bytes, limit: int = 1 << 20):
-    """The bytes in pieces of about ``limit``, cut at white space, so that no word is cut
-    (but one longer than ``limit``). Long texts are processed whole, a piece at a time."""
+    """The bytes in pieces of about ``limit``, cut at white space, or between characters within a
+    word longer than that. Long texts are processed whole, a piece at a time."""
     at, n = 0, len(raw)
     while n - at > limit:
         cut = max(raw.rfind(bytes([s]), at, at + limit) for s in SPACES)
-        cut = cut if cut > at else at + limit
+        if cut <= at:
+            cut = at + limit
+            while raw[cut] & 0xC0 == 0x80:
+                cut -= 1
         yield raw[at:cut]
         at = cut
     yield raw[at:]
