@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the mean of learned vectors: one for each word, one for each
-run of 3 to 5 bytes within a word and its edges, and one for a word that
+run of 3 to 5 characters within a word and its edges, and one for a word that
 repeats the word before it, each found by hash in a table of buckets. A
 softmax over that mean gives the probability of label 1. Vectors and output
 weights are trained by stochastic gradient descent in numpy.
@@ -27,39 +27,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import BASE, labelled_sample, mixed, pieces, powers, small_batches
+from specweave.llm.common import BASE, labelled_sample, mixed, pieces, powers, small_batches, word_hashes
 
 #: Most labelled documents that the model is trained on.
 SAMPLE_ROWS = 4_000
 #: Buckets of the feature table (a power of two), size of the vectors, epochs, first learning rate.
 BUCKETS, SIZE, EPOCHS, RATE = 1 << 17, 8, 8, 0.5
-#: Lengths in bytes of the runs within words.
+#: Lengths in characters of the runs within words.
 GRAMS = (3, 4, 5)
 SEED = 20240501
 
 
 def features(raw: bytes) -> Iterator[np.ndarray]:
-    """Bucket numbers of the features of a text, a piece at a time."""
-    for part in pieces(raw):
-        b = np.frombuffer(b" " + part + b" ", np.uint8)
+    """Bucket numbers of the features of a text: of its words, then of the runs of characters, a piece at a time."""
+    words = word_hashes(raw)
+    if not len(words):
+        return
+    yield bucket(words, 1)
+    again = np.count_nonzero(words[1:] == words[:-1])
+    if again:
+        yield bucket(np.zeros(again, np.uint64), 2)
+    before, rest = b" ", pieces(raw)
+    part = next(rest)
+    while part is not None:
+        after = next(rest, None)
+        b = np.frombuffer(before + part + (b" " if after is None else b""), np.uint8)
+        at = np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))  # where characters begin
+        old = np.searchsorted(at, len(before)) if before != b" " else 1  # characters of the piece before
         gap = (b == 32) | ((b >= 9) & (b <= 13))
-        edge = np.flatnonzero(gap[1:] != gap[:-1])
-        start, end = edge[::2] + 1, edge[1::2] + 1
-        if not len(start):
-            continue
         up, down = powers(len(b) + 1)
         value = np.where(gap, np.uint64(33), b.astype(np.uint64) + np.uint64(1))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * up[:-1], dtype=np.uint64)))
-        words = (sums[end] - sums[start]) * down[start]
-        yield bucket(words, 1)
-        again = np.count_nonzero(words[1:] == words[:-1])
-        if again:
-            yield bucket(np.zeros(again, np.uint64), 2)
-        gaps = np.concatenate((np.zeros(1, np.int32), np.cumsum(gap, dtype=np.int32)))
+        gaps = np.concatenate((np.zeros(1, np.int32), np.cumsum(gap[at[:-1]], dtype=np.int32)))  # by character
+        n_chars = len(at) - 1
         for n in GRAMS:
-            if len(b) > n:
-                at = np.flatnonzero(gaps[n - 1 : len(b)] == gaps[1 : len(b) - n + 2])
-                yield bucket((sums[at + n] - sums[at]) * down[at], n)
+            first = np.arange(max(0, old - n + 1), n_chars - n + 1)  # the others ended in the piece before
+            first = first[gaps[first + n - 1] == gaps[first + 1]]  # only the edges may be white space
+            start, end = at[first], at[first + n]
+            yield bucket((sums[end] - sums[start]) * down[start], n)
+        before, part = bytes(b[at[max(0, n_chars - max(GRAMS) + 1)] :]), after
 
 
 def bucket(h: np.ndarray, kind: int) -> np.ndarray:
@@ -82,11 +88,17 @@ class Model:
 
 
 def learn(texts: list[str], y: np.ndarray) -> Model:
-    """Stochastic gradient descent over the documents, one at a time."""
+    """The model with its vectors folded into the output weights."""
+    vectors, out, bias = train(texts, y)
+    return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+
+
+def train(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, output weights and biases, by stochastic gradient descent over the documents, one at a time."""
     share = (y.sum() + 1) / (len(y) + 2)
     bias = np.array([0.0, np.log(share / (1 - share))])
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), float(bias[1]))
+        return np.zeros((BUCKETS, SIZE), np.float32), np.zeros((SIZE, 2), np.float32), bias
     bags = []
     for text in texts:
         counts = [np.unique(ids, return_counts=True) for ids in features(text.encode("utf-8", "surrogatepass"))]
@@ -117,7 +129,7 @@ def learn(texts: list[str], y: np.ndarray) -> Model:
             bias -= rate * 0.1 * p
             # every vector moves by its share, scaled up as a mean of many features moves little
             vectors[ids] = rows - np.float32(rate * 20) * share_of[:, None] * pull
-    return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return vectors, out, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, rows: int = SAMPLE_ROWS) -> Model:

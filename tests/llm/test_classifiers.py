@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specweave.llm import langid, quality, toxicity
+from specweave.llm import common, langid, quality, toxicity
 from specweave.llm.common import fold_of, labelled_sample, word_hashes
 
 WORDS = "river stone garden window letter market winter table bridge silver forest morning paper island engine".split()
@@ -213,3 +213,95 @@ def test_a_word_longer_than_a_piece_is_one_word():
     assert len(words) == 3 and words[0] == word_hashes(b"x")[0] and words[2] == word_hashes(b"y")[0]
     assert len(word_hashes(blob)) == 1 and word_hashes(blob)[0] == words[1] != word_hashes(blob + b"z")[0]
     assert len(word_hashes(blob + b" " + blob * 2 + b"\n")) == 2
+
+
+# ------------------------------------------------------------------ against plain versions
+
+
+def folded_slowly(t):
+    """Signs become letters one step at a time, until nothing changes."""
+    last, signs = None, toxicity.SIGNS
+    while last != t:
+        last, t = t, "".join(
+            signs[c] if c in signs and (t[i + 1 : i + 2].isalpha() or (c.isdigit() and i and t[i - 1].isalpha())) else c for i, c in enumerate(t)
+        )
+    words = "".join(c if c.isalpha() else " " for c in t).split()
+    return f" {' '.join(words)} ".replace("l", "i")
+
+
+def test_folding_and_matching_against_brute_force():
+    rng = np.random.default_rng(4)
+    entries = {" ab": 2.0, " abo ": 3.0, "ba": 1.5, " bo": 4.0}
+    exceptions = [" abba ", " bob a", "ab"]
+    lexicon = toxicity.Lexicon(entries, exceptions)
+    machine = lexicon.automaton()
+    for _ in range(3000):
+        text = "".join(rng.choice(list("aabbo01842$!|@  .é"), int(rng.integers(0, 16))))
+        folded = folded_slowly(text)
+        assert toxicity.fold(text) == folded, text
+        found = lambda s: [i for i in range(len(folded)) if folded.startswith(s, i)]  # noqa: B023,E731
+        spared = [(i, i + len(s)) for s in exceptions for i in found(s)]
+        best = {}
+        for s, w in entries.items():
+            for i in found(s):
+                if not any(a <= i and i + len(s) <= b for a, b in spared):
+                    best[i] = max(w, best.get(i, w))
+        assert lexicon.measure(text, machine) == (sum(best.values()), len(best), len(folded.split()) if text else 0), text
+
+
+@pytest.mark.parametrize("text", ["a" + "1" * 1_000_000, "1" * 1_000_000, "1$" * 500_000, "a$1" * 300_000, "$" * 1_000_000 + "a", "abc " * 100_000 + "abd " * 100_000])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    lexicon = toxicity.Lexicon({" ab": 1.0}, [" abc "])
+    machine, began = lexicon.automaton(), time.perf_counter()
+    lexicon.measure(text, machine)
+    assert time.perf_counter() - began < 2
+
+
+def grams_of(text):
+    """Words and runs of characters of a text as strings."""
+    import re
+
+    words, s = re.findall(r"[^\x20\x09-\x0D]+", text), " " + text + " "
+    runs = [re.sub(r"[\x20\x09-\x0D]", " ", s[i : i + n]) for n in quality.GRAMS for i in range(len(s) - n + 1) if not re.search(r"[\x20\x09-\x0D]", s[i + 1 : i + n - 1])]
+    return words, runs, sum(a == b for a, b in zip(words, words[1:]))
+
+
+def test_quality_features_and_folding_against_plain_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "a", "ab  ab\tüb", "Ünï cödé 漢字漢字 😀😀", *("".join(rng.choice(list("abé漢 \n"), int(rng.integers(1, 40)))) for _ in range(60))]
+    vectors, out, bias = quality.train(texts, np.arange(len(texts)) % 2 * 1.0)
+    model = quality.learn(texts, np.arange(len(texts)) % 2 * 1.0)
+    for text in texts:
+        ids = [np.sort(x) for x in quality.features(text.encode())]
+        words, runs, again = grams_of(text)
+        assert sum(map(len, ids)) == (len(words) + len(runs) + again if words else 0)
+        kinds = {r: quality.bucket(sum_hash(r), len(r)) for r in set(runs)}  # equal runs share a bucket
+        if words:
+            assert sorted(np.concatenate(ids[-len(quality.GRAMS) :]).tolist()) == sorted(int(kinds[r][0]) for r in runs)
+        mean = vectors[np.concatenate(ids)].mean(axis=0) if words else np.zeros(quality.SIZE)
+        z = mean @ out + bias
+        p = np.exp(z - z.max())
+        assert model.score(text) == pytest.approx(float(p[1] / p.sum()), abs=1e-4)
+
+
+def sum_hash(run):
+    b = run.encode()
+    value = [33 if c == 32 else c + 1 for c in b]
+    return np.array([sum(v * pow(common.BASE, i, 1 << 64) for i, v in enumerate(value)) % (1 << 64)], np.uint64)
+
+
+def test_pieces_of_long_words_have_the_same_features(monkeypatch):
+    text = ("é漢x" * 50 + " " + "abé " * 40).encode()
+    whole = [np.sort(np.concatenate(list(quality.features(text))))]
+    monkeypatch.setattr(quality, "pieces", lambda raw: common.pieces(raw, 37))
+    assert np.array_equal(np.sort(np.concatenate(list(quality.features(text)))), whole[0])
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(500)] + [(i, "x" * 1000) for i in range(2, 60)] + [(60, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 61)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    texts, y = labelled_sample(docs, labels, "toxic", 5, 9, 100)
+    assert len(texts) == 2 and len(y) == 2  # one of the 500, and one for the 58 equal ones
+    assert sum(len(t) for t in labelled_sample(docs.withColumn("text", F.concat("text", F.col("doc_id").cast("string"))), labels, "toxic", 5, 9, 100, most=5000)[0]) <= 5000
