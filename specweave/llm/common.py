@@ -35,6 +35,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
+def free(taken: list[str], name: str) -> str:
+    """A name for a work column that no column has."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def fold_of(column: str, parts: int):
     """Rows' fold: crc32 of the identifier as text, modulo ``parts`` (-1 where it is null)."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts)), F.lit(-1))

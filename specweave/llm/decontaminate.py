@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import BASE, mixed, small_batches, word_hashes
+from specweave.llm.common import BASE, free, mixed, small_batches, word_hashes
 from specweave.workspace import Workspace
 
 SEED = 5
 COVERAGE = 0.5
-#: Most text of a benchmark that is broadcast.
-BROADCAST_BYTES = 64 << 20
+#: Most text of a benchmark that is broadcast; a worker's index of it takes about eight times as much.
+BROADCAST_BYTES = 16 << 20
 VERDICT = "struct<contaminated: boolean, coverage: double, item_id: bigint, items: array<bigint>>"
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -150,8 +150,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 def _joined(docs: DataFrame, items: DataFrame, coverage: float, text: str, into: str) -> DataFrame:
     """The same for a benchmark that is too large to broadcast."""
     ws = Workspace(docs.sparkSession, "decontaminate")
-    sizes = range(1, SEED + 1)
-
     @F.arrow_udf("array<bigint>")
     def seeds_of_item(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -162,7 +160,12 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float, text: str, into:
     def seeds_of_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             words = [tokens(batch[i].as_py()) for i in range(len(batch))]
-            yield pa.array([np.unique(np.concatenate([windows(w, n) + np.uint64(n) for n in sizes])).view(np.int64) for w in words], pa.list_(pa.int64()))
+            yield pa.array([np.unique(np.concatenate([np.zeros(0, np.uint64), *(windows(w, n) + np.uint64(n) for n in sizes)])).view(np.int64) for w in words], pa.list_(pa.int64()))
+
+    @F.arrow_udf("int")
+    def words_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([min(SEED, len(tokens(batch[i].as_py()))) for i in range(len(batch))], pa.int32())
 
     @F.arrow_udf(VERDICT)
     def judged(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -171,13 +174,15 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float, text: str, into:
 
     key = F.sha2(F.col(text), 256)
     items = ws.stage(items.withColumn("item_key", F.xxhash64("item_id", "item_text")), "items")
+    sizes = sorted(r[0] for r in items.select(words_of("item_text").alias("n")).where("n > 0").distinct().collect())  # SEED numbers at most
     seeds = items.select("item_key", F.explode(seeds_of_item("item_text")).alias("seed")).distinct()
     texts = ws.stage(docs.where(F.col(text).isNotNull()).select(key.alias("key"), F.col(text).alias("t")).groupBy("key").agg(F.first("t").alias("t")), "texts")
     pairs = texts.select("key", F.explode(seeds_of_text("t")).alias("seed")).join(seeds, "seed").select("key", "item_key").distinct()
     v = pairs.join(texts, "key").join(items, "item_key").select("key", judged("t", "item_id", "item_text").alias("v")).select("key", "v.*")
     best = F.max_by("item_id", F.struct("coverage", -F.col("item_id")))
     found = v.groupBy("key").agg(F.max("contaminated").alias("contaminated"), F.max("coverage").alias("coverage"), best.alias("item_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    found = ws.stage(found.select(F.col("key").alias("__key"), F.struct("contaminated", "coverage", "item_id", "items").alias("__found")), "found")
+    own, told = (free(docs.columns, c) for c in ("__key", "__found"))
+    found = ws.stage(found.select(F.col("key").alias(own), F.struct("contaminated", "coverage", "item_id", "items").alias(told)), "found")
     none = F.from_json(F.lit('{"contaminated": false, "coverage": 0.0, "item_id": null, "items": []}'), VERDICT)
-    out = docs.withColumn("__key", key).join(found, "__key", "left").withColumn(into, F.coalesce("__found", none))
-    return out.drop("__key", "__found")
+    out = docs.withColumn(own, key).join(found, own, "left").withColumn(into, F.coalesce(told, none))
+    return out.drop(own, told)

@@ -26,10 +26,16 @@ No step holds a group of unbounded size:
      DISTANCE are confirmed, each pair once.
 Every pair within DISTANCE is then confirmed or in one component already.
 
+Sketches and texts of the pairs' documents alone are shuffled, nearly: a bit map
+of their hashes lets through one other row in some WANTED / (their number). It
+is flat up to some WANTED wanted documents; beyond that all rows are shuffled
+once a join, which is linear and needs no memory.
+
 Defined results: null, empty and wordless texts have an empty set and are
 linked with nothing; rows with equal sets are linked; repeated rows each get a
-row; rows without identifier keep a null component and are kept; an empty
-table gives an empty result. Other columns of the input are not looked at.
+row; of rows with one identifier and different sets each has its own
+component; rows without identifier are kept, link nothing, and have the component
+of their set if others have it, else none; an empty table gives an empty result. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -39,11 +45,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specweave.llm.common import BASE, mixed, shingle_hashes, small_batches, word_hashes
+from specweave.llm.common import BASE, free, mixed, shingle_hashes, small_batches, word_hashes
 from specweave.llm.components import components
 from specweave.workspace import Workspace
 
@@ -56,8 +62,8 @@ BLOCK = 256
 ROUNDS, ORDERS = 2, 3
 #: Least bits of a sketch; it has 4 bits a shingle at least. Blocks are compared on sketches folded to this.
 SKETCH_BITS = 1024
-#: Values of the hash whose set of wanted identifiers is broadcast (a bound on that table's rows).
-WANTED = 1 << 22
+#: Bits of the filter of wanted identifiers, which is broadcast as a table of 64 bits a row: WANTED / 64 rows at most.
+WANTED = 1 << 26
 SEED = 71
 
 
@@ -124,8 +130,8 @@ def _features(size: int):
                 digest.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if some else None)
                 sig.append(signature(shingles).tobytes() if some else None)
                 bits.append(sketch(shingles) if some else None)
-            columns = [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, sig, bits))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", "sig", "sketch"])
+            columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, sig, bits))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "hash", "n", "digest", "sig", "sketch"])
 
     return run
 
@@ -234,29 +240,48 @@ def _cross(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+def only(df: DataFrame, key: Column, wanted: DataFrame, column: str, inside: bool = True) -> DataFrame:
+    """Nearly only the rows of ``df`` whose ``key`` is in a column of ``wanted`` (all of them, and a few others),
+    or with ``inside=False`` the rest. No shuffle of ``df``: a bit map of WANTED bits at most is broadcast."""
+    word, bits, at = (free(df.columns, c) for c in ("__word", "__bits", "__at"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED))
+    bit = lambda p: F.expr(f"shiftleft(1L, cast({p} & 63 as int))")
+    marks = wanted.select(place(F.col(column)).alias("p")).select(F.shiftright("p", 6).alias(word), bit("p").alias("b")).groupBy(word).agg(F.bit_or("b").alias(bits))
+    held = df.withColumn(at, place(key)).join(F.broadcast(marks), F.shiftright(at, 6) == F.col(word), "left")
+    found = F.coalesce(F.col(bits).bitwiseAND(bit(at)) != 0, F.lit(False))
+    return held.where(found if inside else ~found).select(*df.columns)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", detail: bool = False) -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for each row of ``docs``.
 
     Documents with 100 * intersection >= percent * union of their shingle sets
-    are linked; ``component_id`` is the smallest identifier reachable.
+    are linked; ``component_id`` is the smallest identifier reachable. With
+    ``detail``, xxhash64 of the text and a digest of the set follow.
     """
     spark = docs.sparkSession
     small_batches(spark)
     ws = Workspace(spark, "neardup")
-    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    features = ws.stage(source.mapInArrow(_features(size), "id long, n long, digest binary, sig binary, sketch binary"), "features")
+    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    features = ws.stage(source.mapInArrow(_features(size), "id long, hash long, n long, digest binary, sig binary, sketch binary"), "features")
     known = features.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest")
-    reps = ws.stage(known.agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sig", "sketch"))), "reps")
+    reps = ws.stage(known.agg(F.min(F.struct("id", "hash")).alias("own"), *(F.first(c).alias(c) for c in ("n", "sig", "sketch"))).select("own.*", "digest", "n", "sig", "sketch"), "classes")
+    # a class is known by the smallest identifier that has it; classes that share theirs, as one identifier has
+    # several texts, get a hash instead (which is another identifier about once in 2**64 / identifiers)
+    clash = ws.stage(reps.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("id").alias("rep"), F.lit(True).alias("__clash")), "clash")
+    clashes = not clash.isEmpty()
+    reps = reps.withColumn("rep", F.col("id"))
+    if clashes:
+        reps = reps.join(clash, "rep", "left").withColumn("rep", F.when(F.col("__clash"), F.xxhash64("id", "digest")).otherwise(F.col("id"))).drop("__clash")
+        reps = ws.stage(reps, "reps")
     alike = _alike(percent)
 
     def order(number: int):
         """The order that a key's leader is first in; keys of one order tend to agree on it."""
         return F.xxhash64("rep", F.pmod("key", F.lit(64)) % ORDERS, F.lit(number))
 
-    def only(df: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
-        """Nearly only the rows of ``df`` that the pairs need, so that most are not shuffled: a bounded set of hashes is broadcast."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).select(F.pmod(F.xxhash64("x"), F.lit(WANTED)).alias("w")).distinct()
-        return df.join(F.broadcast(wanted), F.pmod(F.xxhash64(df[column]), F.lit(WANTED)) == F.col("w"), "left_semi")
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("x"))
 
     def told(pairs: DataFrame, classes: DataFrame, column: str) -> DataFrame:
         """Adds a column of the class of each end."""
@@ -268,7 +293,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id: str =
         """(a, b, differ): the pairs whose sizes and sketches allow the similarity. Sizes come first, as they rule most pairs out."""
         sized = told(pairs, reps, "n").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         sized = ws.stage(sized, f"{name}-sized")
-        sketched = told(sized, only(reps.select("rep", "sketch"), sized, "rep"), "sketch")
+        sketched = told(sized, only(reps.select("rep", "sketch"), F.col("rep"), ends(sized), "x"), "sketch")
         differ = sketched.select("a", "b", alike("sketch_a", "sketch_b", F.col("n_a") + F.col("n_b")).alias("differ"))
         near = ws.stage(differ.where("differ >= 0"), name)
         ws.drop(f"{name}-sized")
@@ -276,10 +301,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id: str =
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b): those whose full sets are similar enough. Texts are shuffled, as they compress and sets do not."""
-        texts = ws.stage(only(source, pairs, "id"), f"{name}-texts")
+        wanted = ends(pairs)
+        if clashes:
+            wanted = wanted.join(reps.select("rep", "id", "hash"), F.col("x") == F.col("rep")).select("x", "id", "hash")
+            texts = only(source, F.col("id"), wanted, "id").join(wanted, ["id", "hash"]).groupBy("x").agg(F.first("text").alias("text"))
+        else:
+            texts = only(source, F.col("id"), wanted, "x").select(F.col("id").alias("x"), "text")
+        texts = ws.stage(texts, f"{name}-texts")
         both = pairs.select("a", "b")
         for c in "ba":
-            both = both.join(texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")), c)
+            both = both.join(texts.select(F.col("x").alias(c), F.col("text").alias(f"text_{c}")), c)
         links = ws.stage(both.where(_linked(size, percent)("text_a", "text_b")).select("a", "b").distinct(), f"{name}-links")
         ws.drop(f"{name}-texts")
         return links
@@ -317,8 +348,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id: str =
     near = candidates(ws.stage(pairs, "cross"), "near-cross")
     join_up(confirmed(near, "last"), "joined-last")
 
-    found = ws.stage(rooted(reps.select("digest", F.col("rep").alias("component")), "component"), "found")
-    ws.drop("reps", f"leaders{ROUNDS}", f"members{ROUNDS}", "cross", "near-cross")
-    out = features.select("id", "n", "digest").join(found, "digest", "left")
+    found = rooted(reps.select("digest", "id", F.col("rep").alias("component")), "component")
+    if clashes:  # roots can be hashes
+        found = ws.stage(found, "rooted")
+        found = found.join(found.groupBy("component").agg(F.min("id").alias("least")), "component").withColumn("component", F.col("least"))
+    found = ws.stage(found.select("digest", "component"), "found")
+    ws.drop("classes", "clash", "reps", "rooted", f"leaders{ROUNDS}", f"members{ROUNDS}", "cross", "near-cross")
+    out = features.select("id", "hash", "n", "digest").join(found, "digest", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    more = [F.col("hash").alias("text_hash"), "digest"] if detail else []
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), *more)

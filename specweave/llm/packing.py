@@ -10,14 +10,16 @@ words of text, so what is gathered grows with the root of the input at most.
 The programme is exact (lines of falling slope asked at rising lengths: linear
 in the distinct lengths for each bucket).
 
-Documents are numbered without gathering a bucket: each bucket is cut into
-shards of about SHARD rows by hash, rows are numbered in their shard, and the
-shards' sums are added up.
+Documents are numbered without gathering a bucket: rows of one identifier and
+length are counted, cut into runs of at most SHARD of them, and dealt by hash
+to shards of about SHARD rows; runs are numbered in their shard, the shards'
+sums are added up, and runs become rows again at the end. So neither rows
+without identifier nor one that repeats without bound meet in one task.
 
 Defined results: null and empty texts have length 0 and are packed as such; a
 document longer than the budget makes a batch of its own; repeated rows are
-packed once each; rows without identifier are packed too; an empty table gives
-an empty result. Other columns of the input are not looked at.
+packed once each; rows without identifier are packed too; a null length counts
+as 0; an empty table gives an empty result. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ from specweave.workspace import Workspace
 
 BUCKETS = 16
 BUDGET = 16_384
-BINS = 1024
 SHARD = 4096
 
 
@@ -39,13 +40,6 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def binned(length: Column) -> Column:
-    """The upper edge of the length's bin: exact up to 2 * BINS, then rounded up to 1/BINS of its octave. ``pack`` does not round."""
-    octave = F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("long") - int(np.log2(BINS)), F.lit(0))
-    step = F.pow(F.lit(2.0), octave).cast("long")
-    return (F.ceil(length / step) * step).cast("long")
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """The (at most ``buckets``) upper edges of least total padding. Lengths rise strictly."""
     m, k = len(lengths), min(buckets, len(lengths))
@@ -89,7 +83,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 def pack(docs: DataFrame, length: Column, budget: int = BUDGET, buckets: int = BUCKETS, id: str = "doc_id") -> DataFrame:
     """(id, n_tokens, bucket, bucket_len, batch_id, slot), a row for each row of ``docs``."""
     ws = Workspace(docs.sparkSession, "packing")
-    slim = ws.stage(docs.select(F.col(id).alias("id"), length.cast("long").alias("n")), "lengths")
+    slim = ws.stage(docs.select(F.col(id).alias("id"), F.coalesce(length.cast("long"), F.lit(0)).alias("n")), "lengths")
     histogram = sorted((r.n, r.rows) for r in slim.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect())
     at, counts = (np.array([h[i] for h in histogram], np.int64) for i in (0, 1))
     edges = boundaries(at, counts, buckets) or [0]
@@ -100,13 +94,18 @@ def pack(docs: DataFrame, length: Column, budget: int = BUDGET, buckets: int = B
     def of(values) -> Column:
         return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("bucket") + 1)
 
-    rows = slim.withColumn("bucket", sum((F.col("n") > e).cast("int") for e in edges[:-1]) if len(edges) > 1 else F.lit(0))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "n"), of(-(-held // SHARD) + (held == 0))))
+    # runs of rows that nothing tells apart
+    runs = slim.groupBy("id", "n").agg(F.count(F.lit(1)).alias("rows"))
+    runs = runs.select("id", "n", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {SHARD}"))).alias("run"))
+    runs = runs.select("id", "n", "run", F.least(F.col("rows") - F.col("run") * SHARD, F.lit(SHARD)).alias("here"))
+    runs = runs.withColumn("bucket", sum((F.col("n") > e).cast("int") for e in edges[:-1]) if len(edges) > 1 else F.lit(0))
+    runs = ws.stage(runs.withColumn("shard", F.pmod(F.xxhash64("id", "n", "run"), of(-(-held // SHARD) + (held == 0)))), "runs")
     sums = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("here")).withColumn("before", F.coalesce(F.sum("here").over(sums), F.lit(0))).drop("here")
+    before = runs.groupBy("bucket", "shard").agg(F.sum("here").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(sums), F.lit(0))).drop("all")
     before = ws.stage(before, "before")
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "n")) - 1)
-    rows = rows.join(before, ["bucket", "shard"]).withColumn("at", F.col("before") + F.col("at"))
+    own = Window.partitionBy("bucket", "shard").orderBy("id", "n", "run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("at", F.coalesce(F.sum("here").over(own), F.lit(0))).join(before, ["bucket", "shard"])
+    rows = runs.withColumn("one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("here") - 1))).withColumn("at", F.col("before") + F.col("at") + F.col("one"))
     return rows.select(
         F.col("id").alias(id), F.col("n").alias("n_tokens"), "bucket", of(edges).alias("bucket_len"),
         (of(first[:-1]) + F.floor(F.col("at") / of(room))).cast("long").alias("batch_id"), (F.col("at") % of(room)).cast("long").alias("slot"),

@@ -80,12 +80,14 @@ ORACLES: dict[str, str] = {
         ), p AS (
             SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
         ), s AS (
-            SELECT t.*, perspective, role = perspective AS own, CAST(floor(turn / 256.0) AS BIGINT) AS part,
+            SELECT t.*, perspective, role = perspective AS own,
                    '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || '|>' || chr(10) AS head,
                    text || '<|end|>' || chr(10) AS body
             FROM t JOIN p USING (conv_id)
-        ), o AS (
+        ), n AS (
             SELECT *, row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, text) AS rn FROM s
+        ), o AS (
+            SELECT *, CAST(floor((rn - 1) / 256.0) AS BIGINT) AS part FROM n
         ), c AS (
             SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY rn) AS stop FROM o
         ), g AS (
@@ -93,7 +95,7 @@ ORACLES: dict[str, str] = {
                    coalesce(string_agg(CAST(stop - length(body) AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY rn) FILTER (WHERE own), '') AS spans
             FROM c GROUP BY ALL
         )
-        SELECT conv_id, perspective, part, CAST(0 AS BIGINT) AS sub, CAST(turns AS BIGINT) AS turns, rendered, spans,
+        SELECT conv_id, perspective, part, CAST(turns AS BIGINT) AS turns, rendered, spans,
                CAST(coalesce(sum(size) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
         FROM g
     """,

@@ -80,6 +80,32 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert neardup.near_duplicates(df.limit(0), 2).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 6])
+def test_one_identifier_with_different_texts(spark, monkeypatch, bits):
+    monkeypatch.setattr(neardup, "WANTED", bits)  # few bits let every row through
+    long = [f"w{i}" for i in range(40)]
+    near = " ".join([*long[:-1], "other"])
+    rows = [(5, " ".join(long)), (5, "quite another text with no copy"), (7, near), (5, " ".join(reversed(long))), (3, " ".join([*reversed(long), "end"])), (9, "a b"), (None, near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, t): (r.component_id, r.kept) for r in neardup.near_duplicates(df, 2, detail=True).collect() for i, t in rows if i == r.doc_id and hash_of(spark, t) == r.text_hash}
+    assert got[5, rows[0][1]] == got[5, rows[1][1]] == (5, True) and got[7, near] == (5, False)
+    assert got[5, rows[3][1]] == (3, False) and got[3, rows[4][1]] == (3, True) and got[9, "a b"] == (9, True) and got[None, near] == (5, True)
+
+
+def hash_of(spark, text):
+    return spark.createDataFrame([(text,)], "t string").select(F.xxhash64("t")).first()[0]
+
+
+def test_the_filter_lets_all_wanted_rows_through(spark, monkeypatch):
+    df, wanted = spark.range(-500, 500), spark.range(-500, 500, 7).withColumnRenamed("id", "x")
+    for bits in (64, 1 << 12, 1 << 26):
+        monkeypatch.setattr(neardup, "WANTED", bits)
+        inside = {r.id for r in neardup.only(df, F.col("id"), wanted, "x").collect()}
+        outside = {r.id for r in neardup.only(df, F.col("id"), wanted, "x", inside=False).collect()}
+        assert inside >= set(range(-500, 500, 7)) and not inside & outside and len(inside | outside) == 1000
+        assert bits < 1 << 26 or len(inside) == 143
+
+
 def test_every_pair_within_the_distance_shares_a_key():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 16, (300, neardup.SYMBOLS)).astype(np.uint16)
@@ -225,10 +251,28 @@ def test_packing(spark, partitions):
     assert packing.pack(df.limit(0), packing.words(F.col("text"))).count() == 0
 
 
-def test_bins_are_bounded_and_round_up(spark):
-    rows = spark.range(1, 200_000, 37).withColumn("b", packing.binned(F.col("id")))
-    assert rows.where((F.col("b") < F.col("id")) | (F.col("b") > F.col("id") * (1 + 2 / packing.BINS) + 1)).count() == 0
-    assert rows.where((F.col("id") < 2048) & (F.col("b") != F.col("id"))).count() == 0
+def test_rows_that_nothing_tells_apart_are_packed(spark, partitions, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 16)
+    rows = [(None, 5)] * 500 + [(7, 5)] * 300 + [(i, int(i % 9)) for i in range(400)] + [(3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, n long")
+    got = partitions(lambda: sorted(map(str, packing.pack(df.repartition(3), F.col("n"), budget=64, buckets=3).collect())), (1, 9))
+    assert got == sorted(map(str, packing.pack(df.repartition(8), F.col("n"), budget=64, buckets=3).collect())) and len(got) == len(rows)
+    rows = packing.pack(df, F.col("n"), budget=64, buckets=3).collect()
+    assert len({(r.batch_id, r.slot) for r in rows}) == len(rows)
+    for bucket in {r.bucket for r in rows}:
+        own = [r for r in rows if r.bucket == bucket]
+        size = 64 // max(own[0].bucket_len, 1)
+        assert len({r.batch_id for r in own}) == -(-len(own) // size) and all(r.slot < size for r in own)
+
+
+def test_an_index_of_the_largest_broadcast_benchmark_is_bounded():
+    rng = np.random.default_rng(2)
+    item = 1 << 20
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 20, item // 6)) for _ in range(decontaminate.BROADCAST_BYTES // item)]
+    bench = decontaminate.Benchmark(list(enumerate(texts)))
+    size = sum(w.nbytes for w in bench.words) + sum(h.nbytes + o.nbytes for _, h, o in bench.index)
+    assert 0.8 * decontaminate.BROADCAST_BYTES < sum(map(len, texts)) and size < 8 * decontaminate.BROADCAST_BYTES
+    assert bench.verdict(texts[3][1000:700_000])["items"] == [3]
 
 
 # ------------------------------------------------------------------ the pipeline
@@ -256,9 +300,35 @@ def test_pipeline_on_the_smallest_tables(spark):
 def test_pipeline_keeps_one_of_repeated_rows(spark):
     import corpus_pipeline
 
-    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "x"), (3, None)], "doc_id long, text string")
-    got = corpus_pipeline.without_near_duplicates(spark, df, "").collect()
-    assert sorted(str(r.doc_id) for r in got) == ["1", "3", "None"]
+    same, other = "a b c d e f", "quite another text of seven words"
+    rows = [(1, same, "x"), (1, same, "y"), (2, same, "x"), (None, "x", "x"), (3, None, "x"), (1, same.upper(), "z"), (2, other, "x"), (2, other, "x"), (4, "", "x"), (4, "", "x"), (None, same, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __hash string")
+    got = sorted((str(r.doc_id), str(r.text).lower()) for r in corpus_pipeline.without_near_duplicates(spark, df, "").collect())
+    assert got == [("1", same), ("2", other), ("3", "none"), ("4", ""), ("4", ""), ("None", same), ("None", "x")]
+    assert corpus_pipeline.without_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_pipeline_stages_on_edges(spark):
+    import corpus_pipeline
+    from conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = docs.orderBy("doc_id").limit(30)
+    odd = [(None, None, "de"), (900, None, None), (901, "", "en"), (902, " \n", "en"), (903, "word " * 60_000, "en"), (903, "word " * 60_000, "en"), (904, "\U0001f600 ß", "zz")]
+    names = [c for c in docs.columns if c not in ("doc_id", "text", "lang")]
+    edge = spark.createDataFrame(odd, "doc_id long, text string, lang string").select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in names]).select(docs.columns)
+    clash = {c: F.lit("own") for c in ("__toxicity", "__quality", "__leak", "__hash", "__word", "__place", "score", "kept", "digest", "rows")}
+    rows = clean.unionByName(edge).withColumns(clash)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, rows, SF)
+        assert got.columns == rows.columns, name
+        kept = got.collect()
+        assert 0 < len(kept) <= rows.count() and all(r["__leak"] == r["__word"] == "own" for r in kept), name
+        if name in ("MinHash near-dedup", "benchmark decontamination"):
+            ids = sorted(str(r.doc_id) for r in kept if r.doc_id is None or r.doc_id >= 900)
+            assert ids == ["900", "901", "902", "903", *(["903"] if name != "MinHash near-dedup" else []), "904", "None"], name
+        assert stage(spark, rows.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.packed(spark, rows, SF).count() == rows.count()
 
 
 def test_boundaries_are_exact_lengths(spark):

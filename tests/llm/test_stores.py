@@ -122,17 +122,36 @@ def test_every_participant_is_the_assistant_once(spark, partitions):
     text = first[4]
     assert text.startswith("<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\nhello<|end|>\n")
     assert [text[a:b] for a, b in first[5]] == ["hi<|end|>\n", "<|end|>\n"]
-    late = next(r for r in got if r[:3] == (1, "bob", 2))
-    assert late[3] == len(next(r for r in got if r[:3] == (1, "bob", 0))[4]) and [late[4][a:b] for a, b in late[5]] == ["late<|end|>\n"] * 2
+    bob = next(r for r in got if r[:3] == (1, "bob", 0))
+    assert bob[4].endswith("<|assistant|>\nlate<|end|>\n" * 2) and [bob[4][a:b] for a, b in bob[5]][-2:] == ["late<|end|>\n"] * 2
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
-def test_a_turn_that_repeats_is_dealt_over_parts(spark):
-    df = spark.range(1000).selectExpr("1L as conv_id", "0L as turn", "'user' as role", "'same' as text")
-    got = chat.perspectives(df).collect()
-    assert sum(r.turns for r in got) == 1000 and len(got) > 8 and max(r.turns for r in got) < 200
-    starts = sorted((r.start, len(r.rendered)) for r in got)
-    assert all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:]))
+def chat_sql(spark, df):
+    """The query's SQL on these turns."""
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    columns = "conv_id, perspective, part, start, turns, rendered, spans"
+    return sorted(con.sql(f"select {columns} from ({queries.ORACLES['op4_perspectives']})").fetchall())
+
+
+def test_long_conversations_and_repeated_turns_against_sql(spark, partitions, monkeypatch):
+    monkeypatch.setattr(chat, "BEGINNING", 4)
+    rng = np.random.default_rng(6)
+    rows = [(1, 0, "user", "same")] * 1000  # one turn, a thousand times
+    rows += [(2, 3, str(rng.choice(["ann", "bob"])), f"other text {rng.integers(0, 90)}") for _ in range(300)]  # differing rows of one turn
+    rows += [(3, i, str(rng.choice(["ann", "bob", "system"])), f"t{i}") for i in range(700)]
+    rows += [(4, i, "ann" if i % 2 else None, None if i % 3 else "x") for i in range(256)] + [(5, None, "system", "only")] * 400 + [(None, 0, "user", "lost")] * 300
+    schema = "conv_id long, turn long, role string, text string"
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s.start, s.end)), ",").alias("spans")
+
+    def run(n):
+        df = spark.createDataFrame(rows, schema).repartition(n)
+        return sorted(map(tuple, chat.perspectives(df).select("conv_id", "perspective", "part", "start", "turns", "rendered", spans).collect()))
+
+    got = partitions(lambda: run(2), (1, 13))
+    assert got == run(7) == chat_sql(spark, spark.createDataFrame(rows, schema))
+    assert sum(r[4] for r in got if r[0] == 1) == 1000 and max(r[4] for r in got) == chat.PART
 
 
 # ------------------------------------------------------------------ inner products
