@@ -1,7 +1,9 @@
 """Token ids in sorted-string-table shards.
 
-Documents are range-partitioned and sorted by identifier; each task tokenizes
-its texts and writes one shard. A shard is
+Documents are range-partitioned and sorted by identifier (rows of one
+identifier, or of none, by hash of text, so that they spread over tasks); each
+task tokenizes its texts and writes shards, a new one after SHARD_BYTES or
+SHARD_KEYS. A shard is
 
   blocks        entries in key order; keys are 9 bytes (a presence byte and the
                 identifier, big-endian with the sign bit flipped) of which only
@@ -21,7 +23,7 @@ characters or with a special token's string, and vocabularies of other rules
 take the library's whole path, so ids are always those of the library.
 
 Defined results: a null text is an empty one and has the end id only; repeated
-identifiers are stored once each, ordered by text; rows without identifier
+identifiers are stored once each, ordered by hash of text; rows without identifier
 come first; an empty table gives no shard and an empty result. Other columns
 are not looked at.
 """
@@ -51,6 +53,8 @@ from specweave.workspace import Workspace
 
 MAGIC = b"SWTOKEN1"
 FOOTER = "<QQQQQQB7x8s"
+#: Bytes and keys of a shard before the next is begun: what a task holds of one is its index and its keys.
+SHARD_BYTES, SHARD_KEYS = 256 << 20, 1_000_000
 #: Bytes of a block before it is closed; bits of the Bloom filter for each key; its hash functions.
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 10, 7
 #: Pieces whose ids a worker keeps before the older ones make room; it holds twice as many at most.
@@ -264,24 +268,35 @@ def write(docs: DataFrame, tokenizer: str, end: int, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId()
-        path, batches = f"{folder}/shard-{number:06d}.sst", (b for b in batches if len(b))
-        if (batch := next(batches, None)) is None:
-            return
-        encoder = Encoder(tokenizer, end)
-        with NewFile(path) as out:
-            shard = ShardWriter(out, encoder.width)
-            while batch is not None:
+        number, encoder = TaskContext.get().partitionId(), None
+
+        def entries() -> Iterator[tuple[bytes, bytes]]:
+            nonlocal encoder
+            for batch in batches:
+                encoder = encoder or Encoder(tokenizer, end)
                 for at in range(0, len(batch), 256):
                     part = batch.slice(at, 256)
                     for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                        shard.add(key_of(doc_id), ids)
-                batch = next(batches, None)
-            shard.close()
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([number], pa.int32()), pa.array([len(shard.keys)], pa.int64()), pa.array([shard.tokens], pa.int64())], names=["path", "shard", "entries", "tokens"])
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return slim.mapInArrow(run, "path string, shard int, entries long, tokens long")
+                        yield key_of(doc_id), ids
+
+        rows, sequence = entries(), 0
+        entry = next(rows, None)
+        while entry is not None:
+            path = f"{folder}/shard-{number:06d}-{sequence:06d}.sst"
+            with NewFile(path) as out:
+                shard = ShardWriter(out, encoder.width)
+                while entry is not None and shard.at < SHARD_BYTES and len(shard.keys) < SHARD_KEYS:
+                    shard.add(*entry)
+                    entry = next(rows, None)
+                shard.close()
+            columns = [pa.array([path]), pa.array([number << 32 | sequence], pa.int64()), pa.array([len(shard.keys)], pa.int64()), pa.array([shard.tokens], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "shard", "entries", "tokens"])
+            sequence += 1
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    # rows that nothing tells apart are spread by where they were read: their order does not show
+    spread = slim.repartitionByRange("doc_id", "hash", F.xxhash64(F.monotonically_increasing_id())).sortWithinPartitions("doc_id", "hash")
+    return spread.select("doc_id", "text").mapInArrow(run, "path string, shard long, entries long, tokens long")
 
 
 def read(shards: DataFrame) -> DataFrame:

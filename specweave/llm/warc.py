@@ -9,7 +9,9 @@ gives a row for each record, with the digest of what was read.
 
 Only headers of groups that occur more than once are joined, so a payload that
 a third of the pages share costs a skewed join of slim rows, which the
-adaptive planner splits; payloads move once, by identifier.
+adaptive planner splits; payloads move once at most, by identifier. Rows of
+one page_id and payload are counted before they move, and rows without page_id
+do not move at all.
 
 Defined results: a null html is an empty payload; payloads below LEAST_BYTES
 are responses; of rows with equal page_id and payload the first by url is the
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specweave.llm.common import small_batches
@@ -34,23 +36,35 @@ from specweave.llm.files import NewFile, open_stream
 from specweave.workspace import Workspace
 
 LEAST_BYTES = 1000
-RECORDS = "page_id long, copy int, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_copy int"
+RECORDS = "page_id long, copy long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_copy long"
 _DATE = "2024-01-01T00:00:00Z"
 
 
 def resolve(pages: DataFrame, ws: Workspace, least: int = LEAST_BYTES) -> DataFrame:
-    """Adds payload_bytes, payload_digest, copy and refers_to (null: a response) to page_id, url, html."""
+    """page_id, url, html, payload_bytes, payload_digest, copy (1: the first of its page_id and payload; null without page_id), refers_to (null: a response)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1(F.encode("html", "UTF-8"))})
-    headers = ws.stage(rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "payload_digest"), "headers")
-    originals = headers.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    originals = ws.stage(originals, "originals")
-    revisits = ws.stage(headers.join(originals, "payload_digest").distinct(), "revisits")
-    same = Window.partitionBy("page_id", "payload_digest").orderBy(F.col("url").asc_nulls_last())
-    rows = rows.withColumn("copy", F.row_number().over(same)).join(revisits, ["page_id", "payload_digest"], "left")
+    none = F.lit(None).cast("long")
+    nameless = rows.where(F.col("page_id").isNull()).withColumns({"copy": none, "refers_to": none})
+    rows = rows.where(F.col("page_id").isNotNull())
+    key = ["page_id", "payload_digest"]
+    headers = ws.stage(rows.groupBy(*key, "payload_bytes").agg(F.count(F.lit(1)).alias("rows"), F.min("url").alias("first")), "headers")
+    large = headers.where(F.col("payload_bytes") >= least)
+    originals = large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.sum("rows").alias("all")).where("all > 1").drop("all")
+    revisits = ws.stage(large.join(ws.stage(originals, "originals"), "payload_digest").select(*key, "refers_to"), "revisits")
+
+    # rows of one page_id and payload: one for each url, with their count, then one for each again
+    groups = ws.stage(headers.where("rows > 1").select(*key, "first"), "groups")
+    leads = F.col("url").eqNullSafe(F.col("first"))
+    several = rows.join(groups, key).withColumn("html", F.when(leads | (F.col("payload_bytes") < least), F.col("html")))
+    several = several.groupBy(*key, "payload_bytes", "url", "first").agg(F.count(F.lit(1)).alias("rows"), F.first("html").alias("html"))
+    several = several.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    several = several.withColumn("copy", F.when(leads & (F.col("k") == 0), 1).otherwise(2 + F.pmod(F.xxhash64("url", "k"), F.lit(1 << 62))).cast("long"))
+    rows = rows.join(groups, key, "left_anti").withColumn("copy", F.lit(1).cast("long"))
+    rows = rows.unionByName(several.select(rows.columns)).join(revisits, key, "left")
     own = (F.col("page_id") == F.col("refers_to")) & (F.col("copy") == 1)
-    return rows.withColumn("refers_to", F.when(~own, F.col("refers_to")))
+    return rows.withColumn("refers_to", F.when(~own, F.col("refers_to"))).unionByName(nameless)
 
 
 def record(kind: str, name: str, fields: list[tuple[str, object]], block: bytes) -> bytes:
@@ -90,6 +104,7 @@ def write(resolved: DataFrame, folder: str) -> list[str]:
             while batch is not None:
                 for i in range(len(batch)):
                     page_id, copy, url, size, digest, refers, html = (batch.column(k)[i].as_py() for k in range(7))
+                    copy = copy or (TaskContext.get().partitionId() << 32 | n) + 1  # without page_id: by place
                     fields = [
                         ("WARC-Target-URI", None if url is None else _clean(url)),
                         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -168,7 +183,7 @@ def read(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in RECORDS.split(", ")])
 
 
@@ -177,5 +192,5 @@ def archive(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     small_batches(pages.sparkSession)
     ws = Workspace(pages.sparkSession, "warc")
     paths = write(resolve(pages, ws, least), f"{ws.path}/archives")
-    ws.drop("headers", "originals", "revisits")
+    ws.drop("headers", "originals", "revisits", "groups")
     return read(pages.sparkSession, paths)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specweave.llm import ann, chat, queries, tokenstore, warc
+from specweave.workspace import Workspace
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -46,6 +47,17 @@ def test_archives(spark, partitions):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_hot_pages_and_pages_without_id(spark):
+    rows = [(None, f"n{i % 3}", BIG) for i in range(400)] + [(5, f"u{i % 7}", BIG) for i in range(400)] + [(6, "u", "small")] * 50 + [(4, "x", BIG)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.archive(df.repartition(3)).collect()
+    assert len(got) == len(rows) and len({(r.page_id, r.copy) for r in got if r.page_id is not None}) == 451
+    assert [(r.url, r.refers_to) for r in got if r.page_id == 5 and r.record_type == "response"] == [("u0", None)]
+    assert all(r.refers_to == 5 and r.refers_copy == 1 for r in got if r.record_type == "revisit") and sum(r.record_type == "revisit" for r in got) == 400
+    assert all(r.payload_bytes == 1200 for r in got if r.page_id != 6)
+    assert sorted((r.page_id or 0, r.url) for r in got) == sorted((i or 0, u) for i, u, _ in rows)
+
+
 def test_records_are_gzip_members():
     raw = warc.record("response", "<urn:page:1:1>", [("WARC-Payload-Digest", "sha1:x")], b"HTTP/1.1 200 OK\r\n\r\npayload") + warc.record("warcinfo", "<urn:a>", [], b"")
     got = list(warc.records(io.BytesIO(raw)))
@@ -82,7 +94,23 @@ def test_shards(spark, name):
 def test_repeated_and_null_identifiers(spark):
     df = spark.createDataFrame([(5, "b"), (5, "a"), (None, "n"), (5, "b")], "doc_id long, text string")
     got = sorted((tuple(r) for r in tokenstore.round_trip(df, WORDS, 2).collect()), key=lambda r: r[1])
-    assert got == expected([(None, "n"), (5, "a"), (5, "b"), (5, "b")], WORDS, 2)
+    texts = sorted(["a", "b", "b"], key=lambda t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0])
+    assert got == expected([(None, "n"), *((5, t) for t in texts)], WORDS, 2)
+
+
+def test_shards_are_bounded_and_hot_identifiers_are_split(spark, monkeypatch):
+    monkeypatch.setattr(tokenstore, "SHARD_KEYS", 40)
+    rows = [(None, "same")] * 300 + [(9, f"t{i % 50}") for i in range(300)] + [(i, "x") for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with enough rows
+    shards = tokenstore.write(df, WORDS, 2, f"{Workspace(spark, 'shards').path}/x").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r.entries for r in shards) == 650 and max(r.entries for r in shards) <= 40 and len({r.shard >> 32 for r in shards}) > 2
+    got = sorted((tuple(r) for r in tokenstore.round_trip(df, WORDS, 2).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [r[0] for r in sorted(rows, key=lambda r: r[0] or 0)]
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:])) and got[0][1] == 0
+    ends = lambda rows: sorted((i, n, c) for i, _, n, c in rows if i is not None)
+    assert ends(got) == ends(expected(rows, WORDS, 2)) and len({r[2:] for r in got if r[0] is None}) == 1
 
 
 def test_lookup_and_damage(tmp_path, monkeypatch):
