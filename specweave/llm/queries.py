@@ -110,4 +110,18 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
         FROM o
     """,
+    "op6_ann": """
+        WITH e AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        ), u AS (
+            SELECT * FROM e WHERE len([x FOR x IN v IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN v IF x <> 0]) > 0
+        ), o AS (
+            SELECT DISTINCT * FROM u WHERE len(v) = (SELECT len(v) FROM u GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1)
+        ), p AS (
+            SELECT q.vec_id AS query_id, o.vec_id, max(list_dot_product(o.v, q.v)) AS score FROM o JOIN o AS q ON q.vec_id % 20 = 0 AND q.vec_id <> o.vec_id GROUP BY ALL
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p
+        )
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+    """,
 }

@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -199,7 +199,7 @@ def top(x, ids, q, k=20):
 
 def test_search_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ann, "ROW_BLOCK", 300)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 20 * 24 * 8)  # rounds of some 20 queries
     x, ids = vectors(), np.arange(900)
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(range(900), x)], "vec_id long, embedding array<float>, rank int")
     got: dict = {}
@@ -259,8 +259,12 @@ def test_recall_on_a_full_block(group, jitter):
     apart = np.linalg.norm(x - ann.decode(codes, centres, x.shape[1]), axis=1)
     q = x[np.r_[0:2700:90, 2730:8190:182]]
     for own, (place, score) in zip(q, ann.nearest(q, x, rep, codes, centres, apart, 21, ann.RERANK)):
-        s = np.einsum("rd,d->r", x, own)
-        assert list(place) == list(np.lexsort((rep, -s))[:21]) and np.allclose(score, s[place], rtol=1e-12)
+        s = ann.products(x, own)
+        assert list(place) == list(np.lexsort((rep, -s))[:21]) and (score == s[place]).all()
+        plain = 0.0
+        for a, b in zip(x[place[0]], own):
+            plain += a * b
+        assert plain == score[0]
 
 
 def test_search_among_near_copies(spark):
