@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from specweave.schemas import FIELD_KINDS
 
+# Fixed value: what counts as a number.
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 # Units and their factors to the canonical unit.
 UNITS = {

@@ -1,7 +1,8 @@
 """Tokens and document texts as column expressions.
 
-Only Unicode folding (NFKC) and the segmentation of Chinese need Python; texts
-of Latin script never leave the JVM with ``latin=True``.
+Only Unicode folding (NFKC) and the segmentation of Chinese need Python, and
+only rows with characters that they can change are sent there: texts of plain
+Latin letters never leave the JVM.
 """
 
 from __future__ import annotations
@@ -50,6 +51,17 @@ SUFFIXES = {
 }
 
 
+def _plain_letters(below: int = 0x250) -> str:
+    """A class of the characters that folding leaves as they are, alone and beside each other."""
+    same = [c for c in range(below) if unicodedata.normalize("NFKC", chr(c)) == chr(c)]
+    starts = [c for c in same if c - 1 not in same]
+    ends = [c for c in same if c + 1 not in same]
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends))
+
+
+PLAIN = _plain_letters()
+
+
 @F.arrow_udf(T.StringType())
 def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Unicode compatibility folding; Spark has no function for it."""
@@ -59,7 +71,8 @@ def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def spec_tokens(text: Column, latin: bool = False) -> Column:
     """Runs of Chinese, numbers with their unit, and words, in order; before segmentation and stop words."""
-    s = F.lower(text if latin else nfkc(text))
+    odd = text.rlike(f"[^{PLAIN}]")
+    s = F.lower(text if latin else F.when(odd, nfkc(F.when(odd, text))).otherwise(text))
     s = F.replace(s, F.lit("°c"), F.lit("c"))
     s = F.regexp_replace(s, r"(?<![a-z])(dc|ac)(?=\d)", "$1 ")
     return F.regexp_extract_all(s, F.lit(f"({HAN}|{SPEC}|{WORD})"), F.lit(1))
@@ -70,9 +83,12 @@ def without_stop_words(tokens: Column) -> Column:
 
 
 def tokenize(text: Column, latin: bool = False, segmenter=None) -> Column:
-    """Tokens of a text. ``latin`` promises text without Chinese or compatibility characters."""
+    """Tokens of a text. ``latin`` promises text without Chinese or compatibility characters and leaves Python out of the plan."""
     tokens = spec_tokens(text, latin)
-    return without_stop_words(tokens if latin else segment.segmented(tokens, segmenter))
+    if not latin:
+        chinese = F.exists(tokens, lambda t: t.rlike(f"^{HAN}"))
+        tokens = F.when(chinese, segment.segmented(F.when(chinese, tokens), segmenter)).otherwise(tokens)
+    return without_stop_words(tokens)
 
 
 def short_number(x: Column) -> Column:

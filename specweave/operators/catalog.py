@@ -6,7 +6,7 @@ catalog is the same for any partitioning and any number of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specweave.functions.text import raw_text, short_number
@@ -19,9 +19,9 @@ DOMAINS = {
     "adapter": {
         "output_voltage_v": [5, 9, 12, 15, 19, 24],
         "output_current_a": [1, 1.5, 2, 3, 5],
+        "input_voltage_v": [[100, 240]],
         "plug": ["US", "EU", "UK", "AU", "CN"],
         "cert": ["CE", "UL", "CCC", "FCC"],
-        "input_voltage_v": [[100, 240]],
         "moq_units": [500, 1000, 3000, 10000],
     },
     "battery": {
@@ -104,6 +104,8 @@ NAMES = {
 EXTRAS = (["厂家直销", "现货批发", "工业级", "高品质", "路由器监控通用", "OEM定制"], ["Factory Direct", "OEM", "Wholesale", "Industrial Grade"])
 MOTOR_ENGLISH = {"BLDC": "brushless DC", "brushed_dc": "brushed DC", "stepper": "stepper"}
 SEED, FAMILIES, ZH_QUERIES = 7, 26, 0.3
+#: Most sheets of a family: an anchor, two copies, three near misses.
+MEMBERS = 6
 
 
 class Dice:
@@ -229,8 +231,7 @@ def render_sheets(rows: DataFrame, dice: Dice) -> DataFrame:
     made = []
     for f in FIELDS:
         names = F.array(*[F.lit(h) for h in HEADERS[f]])
-        plain = F.filter(names, lambda h: h.rlike(r"^[\x00-\x7F]*$"))
-        local = F.filter(names, lambda h: ~h.rlike(r"^[\x00-\x7F]*$"))
+        plain, local = F.filter(names, plain_ascii), F.filter(names, lambda h: ~plain_ascii(h))
         fit = F.when(F.col("style") == "en", plain).when(F.col("style") == "zh", local).otherwise(names)
         header = dice.of(f"{f}.header", F.when(F.size(fit) == 0, names).otherwise(fit))
         unclear = F.lit(False)
@@ -287,7 +288,7 @@ def families(spark: SparkSession, per_category: int = FAMILIES, seed: int = SEED
     rows = rows.join(again, ["family", "place"])
     for f in ("moq_units", "weight_g"):  # suppliers of one product differ in minor specs
         rows = rows.withColumn(f, F.when((F.col("kind") != "anchor") & own.chance(f"{f}.minor", 0.5), F.col(f"new_{f}")).otherwise(F.col(f)))
-    number = F.row_number().over(Window.orderBy("family", "place")) - 1  # a catalog of families is small
+    number = F.col("family") * MEMBERS + F.col("place")
     return rows.withColumn("id", F.format_string("P%04d", number)).drop("new_moq_units", "new_weight_g")
 
 
@@ -326,15 +327,33 @@ def near_misses(anchors: DataFrame, items: DataFrame, on: list[str], fields: lis
     a = anchors.select(F.col(anchor_id).alias("__a"), *[F.col(c).alias(f"a_{c}") for c in [*on, *fields]])
     b = items.select(F.col(item_id).alias("__b"), *[F.col(c).alias(f"b_{c}") for c in [*on, *fields]])
     n, out = len(fields), None
+    if not on and n < 2:
+        raise ValueError("without a column to agree on, every pair is a near miss")
     for i, left_out in enumerate(fields):
         same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in [*on, *(f for f in fields if f != left_out)]]
-        pairs = a.join(b, same) if same else a.crossJoin(b)
+        pairs = a.join(b, same)
         equal = equal_fields(lambda f: F.col(f"a_{f}"), lambda f: F.col(f"b_{f}"), fields)
         pairs = pairs.select("__a", "__b", equal.alias("equal")).where(F.col("equal") == n - 1 if i else F.col("equal") >= n - 1)
         out = pairs if out is None else out.unionByName(pairs)
     return out.select(F.col("__a").alias(anchor_id), F.col("__b").alias(item_id), "equal")
 
 
+def gold_lists(pairs: DataFrame, anchor_id: str, item_id: str) -> DataFrame:
+    """(anchor_id, relevant, hard_negatives): sorted ids of pairs that are ``full`` and of the others."""
+    ids = lambda flag: F.array_sort(F.collect_list(F.when(flag, F.col(item_id))))
+    return pairs.groupBy(anchor_id).agg(ids(F.col("full")).alias("relevant"), ids(~F.col("full")).alias("hard_negatives"))
+
+
+def in_turn(number: Column, prefix: str = "S") -> tuple[Column, Column]:
+    """Identifier and category of the n-th item: categories take turns."""
+    category = F.get(F.array(*[F.lit(c) for c in CATEGORIES]), F.pmod(number, F.lit(len(CATEGORIES))).cast("int"))
+    return F.format_string(f"{prefix}%06d", number), category
+
+
+def plain_ascii(text: Column) -> Column:
+    return text.rlike(r"^[\x00-\x7F]*$")
+
+
 def gold_queries(members: DataFrame, seed: int = SEED) -> DataFrame:
     """Queries of the anchors with relevant ids (all constrained fields equal) and hard negatives (all but one)."""
     dice = Dice("family", seed=seed)
@@ -344,8 +363,7 @@ def gold_queries(members: DataFrame, seed: int = SEED) -> DataFrame:
     for c, fields in QUERY_FIELDS.items():
         own = near_misses(anchors.where(F.col("category") == c), members.where(F.col("category") == c), [], fields, "qid", "id").withColumn("full", F.col("equal") == len(fields))
         pairs = own if pairs is None else pairs.unionByName(own)
-    ids = lambda flag: F.array_sort(F.collect_list(F.when(flag, F.col("id"))))
-    gold = pairs.groupBy("qid").agg(ids(F.col("full")).alias("relevant"), ids(~F.col("full")).alias("hard_negatives"))
+    gold = gold_lists(pairs, "qid", "id")
     wanted = lambda f: F.when(F.element_at(F.create_map(*[x for c, v in QUERY_FIELDS.items() for x in (F.lit(c), F.lit(f in v))]), F.col("category")), F.col(f).cast(spark_type(f))).alias(f)
     out = anchors.select("qid", "category", "lang", "text", F.struct(*[wanted(f) for f in FIELDS]).alias("constraints"))
     return out.join(gold, "qid").select(F.col("qid").alias("id"), "category", "lang", "text", "constraints", "relevant", "hard_negatives")
@@ -369,6 +387,7 @@ def scale_corpus(spark: SparkSession, n: int, seed: int = 11) -> DataFrame:
     """(id, category, truth, text): ``n`` items, categories in turn."""
     dice = Dice("number", seed=seed)
     rows = spark.range(n).withColumnRenamed("id", "number")
-    rows = rows.withColumn("category", F.get(F.array(*[F.lit(c) for c in CATEGORIES]), F.pmod("number", F.lit(len(CATEGORIES))).cast("int"))).withColumn("id", F.format_string("S%06d", "number"))
+    own, category = in_turn(F.col("number"))
+    rows = rows.withColumns({"category": category, "id": own})
     sheets = render_sheets(sample_specs(rows, dice), Dice("id", seed=seed))
     return sheets.select("id", "category", "truth", raw_text(F.col("title"), F.col("rows")).alias("text"))

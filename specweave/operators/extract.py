@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -51,6 +52,80 @@ CATEGORY_FIELDS = {
 }
 
 
+# What each field means, for a provider that reads it.
+MEANINGS = {
+    "output_voltage_v": "voltage that a power supply gives", "voltage_v": "rated voltage of the product itself", "input_voltage_v": "range of mains voltage that is accepted",
+    "output_current_a": "current that a power supply gives, in amperes", "max_discharge_a": "largest discharge current of a battery", "no_load_current_a": "current of a motor without load",
+    "output_current_ma": "constant output current of a driver, in milliamperes", "power_w": "rated power", "weight_g": "weight of one piece", "speed_rpm": "speed of a motor",
+    "rated_torque_nm": "torque at rated load", "capacity_mah": "capacity of a battery", "op_temp_c": "range of working temperature", "moq_units": "smallest order, in pieces",
+    "plug": "plug standard of a country", "cert": "certification mark", "chemistry": "cell chemistry of a battery", "motor_type": "kind of motor", "ip_rating": "ingress protection code",
+    "dimmable": "whether light can be dimmed",
+}
+
+
+def mapping_prompt(title: str, rows: list[tuple[str, str]]) -> str:
+    """What a language model is asked for one sheet."""
+    fields = "\n".join(f"{f}: {MEANINGS[f]}" for f in FIELDS)
+    lines = "\n".join(f"{i}. {header} = {value}" for i, (header, value) in enumerate(rows))
+    return (
+        f"A supplier's specification sheet follows, often in Chinese. Name its category ({', '.join(CATEGORIES)}) and, for each numbered row, the field that it gives.\n"
+        f"Fields:\n{fields}\n"
+        f"Say {UNMAPPED} for information that no field holds, and {AMBIGUOUS} where header, value and category leave more than one field possible. "
+        f"A field is given at most once. Confidence is the probability that the answer is right.\n\nTitle: {title}\nRows:\n{lines}"
+    )
+
+
+def mapping_schema() -> dict:
+    """JSON schema of the answer; strict, so that nothing else passes."""
+
+    def strict(**properties) -> dict:
+        return {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
+
+    row = strict(index={"type": "integer"}, field={"type": "string", "enum": [*FIELDS, UNMAPPED, AMBIGUOUS]}, confidence={"type": "number"})
+    return strict(category={"type": "string", "enum": list(CATEGORIES)}, rows={"type": "array", "items": row})
+
+
+def asking(complete: Callable[[str, dict], str | tuple[str, dict]], tries: int = 2) -> Callable[[str, list[tuple[str, str]]], dict]:
+    """A provider of mappings from ``complete(prompt, schema)``, which gives JSON text, or that and its usage.
+
+    An answer that is no JSON or breaks the schema is asked for again, up to
+    ``tries`` times, and is an error then. Usage counts all tries.
+    """
+
+    def provider(title: str, rows: list[tuple[str, str]]) -> dict:
+        used, broken = {"input": 0, "output": 0}, None
+        for _ in range(tries):
+            answer = complete(mapping_prompt(title, rows), mapping_schema())
+            text, usage = answer if isinstance(answer, tuple) else (answer, {})
+            used = {k: n + int(usage.get(k, 0)) for k, n in used.items()}
+            try:
+                mapping = json.loads(text)
+                if broken := _breach(mapping, mapping_schema()):
+                    continue
+                return mapping | {"usage": used}
+            except json.JSONDecodeError as e:
+                broken = str(e)
+        raise ValueError(f"no valid answer in {tries} tries: {broken}")
+
+    return provider
+
+
+def _breach(value, schema: dict) -> str | None:
+    """The first place at which a value breaks a schema of the kind above."""
+    kinds = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float)}
+    if not isinstance(value, kinds[schema["type"]]) or isinstance(value, bool):
+        return f"{value!r} is no {schema['type']}"
+    if "enum" in schema and value not in schema["enum"]:
+        return f"{value!r} is not allowed"
+    if schema["type"] == "object":
+        if set(value) != set(schema["required"]):
+            return f"properties are {sorted(value)}"
+        return next((b for k, s in schema["properties"].items() if (b := _breach(value[k], s))), None)
+    if schema["type"] == "array":
+        return next((b for v in value if (b := _breach(v, schema["items"]))), None)
+    return None
+
+
 def map_headers(sheets: DataFrame, provider: Callable[[str, list[tuple[str, str]]], dict] = alias_mapper, workers: int = 8) -> DataFrame:
     """(id, mapping, usage, failure): the provider's mapping of each sheet, or why there is none.
 
@@ -134,13 +209,18 @@ def build_attributes(sheets: DataFrame, mappings: DataFrame) -> DataFrame:
 
 def extract(sheets: DataFrame, provider=alias_mapper) -> DataFrame:
     """Extractions of sheets: mapping, attributes, errors. Sheets whose mapping failed or breaks the schema are left out."""
-    mapped = map_headers(sheets, provider).where(F.col("mapping").isNotNull() & valid_mapping(F.col("mapping")))
+    return extracted(sheets, map_headers(sheets, provider))
+
+
+def extracted(sheets: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Extractions from mappings that a provider has given already."""
+    mapped = mapped.where(F.col("mapping").isNotNull() & valid_mapping(F.col("mapping")))
     built = build_attributes(sheets, mapped)
     return mapped.select("id", "mapping").join(built, "id").select("id", "mapping", "attributes", "normalization_errors")
 
 
 def containment(left: Column, right: dict, kinds: dict[str, str] | None = None) -> Column:
-    """Whether a JSON text holds every key of ``right`` with an equal value (numbers by value, arrays as sets, objects by part)."""
+    """Whether a JSON text holds every key of ``right`` with an equal value (numbers by value, arrays as sets of items held by part, objects by part)."""
 
     def holds(value: Column, path: str, want) -> Column:
         if isinstance(want, dict):
@@ -149,10 +229,11 @@ def containment(left: Column, right: dict, kinds: dict[str, str] | None = None)
                 out = out & holds(value, f"{path}.{k}", v)
             return out
         if isinstance(want, list):
-            kind = "array<double>" if all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in want) else "array<string>"
-            items = F.try_variant_get(value, path, kind)
-            lit = F.array(*[F.lit(float(x) if kind == "array<double>" else x) for x in want]).cast(kind)
-            return F.coalesce(F.size(F.array_except(lit, items)) == 0, F.lit(False))
+            items = F.try_variant_get(value, path, "array<variant>")
+            out = F.coalesce(items.isNotNull(), F.lit(False))
+            for w in want:  # some item holds it, whatever the place
+                out = out & F.coalesce(F.exists(items, lambda x: holds(x, "$", w)), F.lit(False))  # noqa: B023  called at once
+            return out
         if want is None:
             return F.coalesce(F.is_variant_null(F.try_variant_get(value, path, "variant")), F.lit(False))
         kind = "boolean" if isinstance(want, bool) else "double" if isinstance(want, (int, float)) else "string"
@@ -163,3 +244,19 @@ def containment(left: Column, right: dict, kinds: dict[str, str] | None = None)
     return holds(F.try_parse_json(left), "$", right)
 
 
+def shredded(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Adds a column ``<column>_<key>`` with the text of each top-level scalar. Written sorted by them, files
+    and row groups that lack a value are skipped by :func:`contained`."""
+    parsed = F.try_parse_json(column)
+    return rows.withColumns({f"{column}_{k}": F.try_variant_get(parsed, f"$.{k}", "string") for k in keys})
+
+
+def contained(rows: DataFrame, column: str, want: dict) -> DataFrame:
+    """Rows whose JSON holds ``want``. Shredded strings and integers are compared first, by a filter that the scan takes; the rest decides."""
+    for k, v in want.items():
+        own = f"{column}_{k}"
+        if own in rows.columns and isinstance(v, str):
+            rows = rows.where(F.col(own) == v)
+        elif own in rows.columns and isinstance(v, int) and not isinstance(v, bool):
+            rows = rows.where(F.col(own).isin(str(v), f"{v}.0") | F.col(own).contains("E") | F.col(own).contains(".") & (F.col(own).try_cast("double") == float(v)))
+    return rows.where(containment(F.col(column), want))

@@ -31,14 +31,19 @@ def rrf(lexical: DataFrame, semantic: DataFrame, k: int = 50, constant: int = RR
     return top(merged.withColumn("rrf", part("lexical_rank") + part("semantic_rank")), k, "rrf").select("qid", "doc_id", "rrf", "lexical_rank", "semantic_rank", "rank")
 
 
+def token_overlap(query: Column, text: Column) -> Column:
+    """The share of the query's distinct tokens that the text's tokens hold."""
+    q = F.array_distinct(query)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(q, text)).cast("double"), F.size(q).cast("double")), F.lit(0.0))
+
+
 def overlap_score(query: Column, text: Column) -> Column:
-    """Offline reranker: the share of the query's distinct tokens that the text holds."""
-    q, t = F.array_distinct(tx.tokenize(query)), tx.tokenize(text)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)).cast("double"), F.size(q).cast("double")), F.lit(0.0))
+    """Offline reranker: the overlap of the texts' tokens."""
+    return token_overlap(tx.tokenize(query), tx.tokenize(text))
 
 
 def modelled_score(provider):
-    """A scorer from ``provider(list of (query, text)) -> scores``, called on Arrow batches."""
+    """A scorer from ``provider(list of (query, text)) -> scores``, called on Arrow batches; a model comes as ``providers.Once``."""
 
     @F.arrow_udf("double")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -51,9 +56,12 @@ def modelled_score(provider):
 def rerank(ranked: DataFrame, queries: DataFrame, texts: DataFrame, n: int = RERANK_ROWS, score=overlap_score) -> DataFrame:
     """(qid, doc_id, rank): the first n of each list by score, ties as they were; the rest as it was.
 
-    ``texts`` is (doc_id, text), ``queries`` (qid, text). Only the head's texts are joined and scored.
+    ``texts`` is (doc_id, text), ``queries`` (qid, text), or both have ``tokens`` in
+    place of ``text``, as an index has written them, and ``score`` compares those.
+    Only the head's texts are joined and scored.
     """
-    head = ranked.where(F.col("rank") <= n).join(queries.select("qid", F.col("text").alias("__query")), "qid").join(texts.select("doc_id", F.col("text").alias("__text")), "doc_id")
+    what = "tokens" if "tokens" in texts.columns else "text"
+    head = ranked.where(F.col("rank") <= n).join(queries.select("qid", F.col(what).alias("__query")), "qid").join(texts.select("doc_id", F.col(what).alias("__text")), "doc_id")
     scored = head.select("qid", "doc_id", score(F.col("__query"), F.col("__text")).alias("score"))
     out = ranked.select("qid", "doc_id", "rank").join(scored, ["qid", "doc_id"], "left")
     order = Window.partitionBy("qid").orderBy((F.col("rank") > n).asc(), F.round("score", 9).desc_nulls_last(), "rank")
@@ -85,6 +93,9 @@ class Searcher:
         return rrf(self.bm25(queries, field, k), self.dense(queries, field, k), k).select("qid", "doc_id", "rank")
 
     def rerank(self, ranked: DataFrame, queries: DataFrame, field: str = "raw", n: int = RERANK_ROWS) -> DataFrame:
+        if self.score is overlap_score:  # the index has the tokens
+            asked = queries.select("qid", tx.tokenize(F.col("text")).alias("tokens"))
+            return rerank(ranked, asked, self.index.tokens.where(F.col("field") == field).select("doc_id", "tokens"), n, token_overlap)
         return rerank(ranked, queries, self.texts.where(F.col("field") == field).select("doc_id", "text"), n, self.score)
 
     def run(self, variant: str, queries: DataFrame, k: int = 50) -> DataFrame:

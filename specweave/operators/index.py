@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specweave.functions import text as tx
-from specweave.workspace import Workspace
+from specweave.workspace import Workspace, size_of
 
 VARIANTS = ("raw", "norm", "oracle")
 
@@ -17,13 +18,38 @@ VARIANTS = ("raw", "norm", "oracle")
 class Index:
     """Written tables, in folders by ``field``.
 
-    docs (field, doc_id, len) · postings (field, term, doc_id, tf, len) · terms (field, term, df).
+    docs (field, doc_id, len) · tokens (field, doc_id, tokens) · postings (field, term, doc_id, tf, len) · terms (field, term, df).
     Postings carry the document's length, which spares a join as wide as the postings.
     """
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
+    tokens: DataFrame
+    ws: Workspace
+    name: str
+    seconds: float = 0.0
+    version: int = 0
+
+    def refresh(self) -> None:
+        """Counts terms anew from the postings, and swaps the table in when it is whole."""
+        old = self._terms_table()
+        self.version += 1
+        fresh = self.ws.stage(term_counts(self.postings).sortWithinPartitions("field", "term"), self._terms_table(), by="field")
+        self.terms = fresh.select("field", "term", "df")
+        self.ws.drop(old)
+
+    def _terms_table(self) -> str:
+        return f"{self.name}-terms{self.version}"
+
+    def size(self) -> dict[str, int]:
+        """Bytes of each table."""
+        names = {"tokens": f"{self.name}-tokens", "postings": f"{self.name}-postings", "terms": self._terms_table()}
+        return {k: size_of(self.ws.spark, f"{self.ws.path}/{v}") for k, v in names.items()}
+
+    def drop(self) -> None:
+        """Removes the tables; frames that read them fail afterwards."""
+        self.ws.drop(f"{self.name}-tokens", f"{self.name}-postings", self._terms_table())
 
 
 def build_index(texts: DataFrame, ws: Workspace, latin: bool = False, name: str = "index") -> Index:
@@ -33,15 +59,16 @@ def build_index(texts: DataFrame, ws: Workspace, latin: bool = False, name: str
     tokens count among the documents. Postings are sorted by term within files,
     so look-ups skip row groups.
     """
+    began = time.perf_counter()
     found = F.coalesce(tx.tokenize(F.col("text"), latin), F.array().cast("array<string>"))
     tokens = texts.select("field", "doc_id", found.alias("tokens")).withColumn("len", F.size("tokens"))
     tokens = ws.stage(tokens, f"{name}-tokens", by="field")
     docs = tokens.select("field", "doc_id", "len")
     counted = tokens.select("field", "doc_id", "len", F.explode("tokens").alias("term")).groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len"))
     postings = ws.stage(counted.sortWithinPartitions("field", "term"), f"{name}-postings", by="field")
-    terms = ws.stage(term_counts(postings).sortWithinPartitions("field", "term"), f"{name}-terms", by="field")
+    terms = ws.stage(term_counts(postings).sortWithinPartitions("field", "term"), f"{name}-terms0", by="field")
     names = {"postings": ["field", "term", "doc_id", "tf", "len"], "terms": ["field", "term", "df"]}
-    return Index(docs, postings.select(names["postings"]), terms.select(names["terms"]))
+    return Index(docs, postings.select(names["postings"]), terms.select(names["terms"]), tokens.select("field", "doc_id", "tokens"), ws, name, time.perf_counter() - began)
 
 
 def term_counts(postings: DataFrame) -> DataFrame:

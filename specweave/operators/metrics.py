@@ -98,6 +98,17 @@ def percentiles(rows: DataFrame, by: str, value: str, shares: tuple[float, ...]
     return found.groupBy(F.col("k").alias(by)).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])
 
 
+def first_of(rows: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
+    """The first ``n`` rows of each group, numbered from 1 as ``n``: examples that a report shows."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("bigint")
+    return rows.withColumn("n", place).where(F.col("n") <= n)
+
+
+def selectivity(rows: DataFrame, predicate: Column) -> DataFrame:
+    """One row: the share of rows that pass, and how many there are."""
+    return rows.agg(F.avg(F.coalesce(predicate, F.lit(False)).cast("double")).alias("selectivity"), F.count(F.lit(1)).alias("n"))
+
+
 def ablation(results: DataFrame, queries: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
     """A row for each variant: mean metrics, nDCG by language, and latency percentiles where given.
 

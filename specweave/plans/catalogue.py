@@ -15,7 +15,7 @@ from specweave.functions import normalize as nz
 from specweave.functions import text as tx
 from specweave.operators import catalog, dense, extract, fusion, index, metrics
 from specweave.operators.bm25 import bm25
-from specweave.schemas import FIELDS, spark_type
+from specweave.schemas import FIELD_KINDS, FIELDS, spark_type
 from specweave.sources import jsonl
 from specweave.workspace import Workspace, table
 
@@ -71,19 +71,30 @@ def _bm25_sql(queries: str, k: int) -> str:
 """
 
 
-_INDEXES: dict[tuple[str, str], index.Index] = {}
+_INDEXES: dict[tuple[str, str], tuple[list, index.Index]] = {}
 
 
 def _document_index(spark: SparkSession, sf_dir: str) -> index.Index:
     """The documents' index: written once for a session and a folder of tables, and searched by every query."""
     key = (spark.sparkContext.applicationId, sf_dir)
+    files = _state(spark, f"{sf_dir}/documents.parquet")
+    if key in _INDEXES and _INDEXES[key][0] != files:  # the table has changed
+        _INDEXES.pop(key)[1].ws.close()
     if key not in _INDEXES:
         texts = table(spark, sf_dir, "documents").select(F.lit("raw").alias("field"), "doc_id", "text")
         slots = spark.sparkContext.defaultParallelism
         if 0 < len(texts.inputFiles()) < slots:  # a file of one row group is one task otherwise
             texts = texts.repartition(slots)
-        _INDEXES[key] = index.build_index(texts, Workspace(spark, "index"), latin=True)
-    return _INDEXES[key]
+        _INDEXES[key] = files, index.build_index(texts, Workspace(spark, "index"))
+    return _INDEXES[key][1]
+
+
+def _state(spark: SparkSession, path: str) -> list[tuple]:
+    """Names, sizes and times of a table's files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*")) or []
+    own = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in [own, *found])
 
 
 def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,12 +133,12 @@ _LITERAL_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in
 def bm25_topk(spark, sf_dir):
     """Flagship: the 50 best documents of literal queries; one query matches nothing."""
     queries = spark.createDataFrame(_LITERAL, "qid long, text string")
-    return bm25(_document_index(spark, sf_dir), queries, latin=True).withColumn("score", r6("score"))
+    return bm25(_document_index(spark, sf_dir), queries).withColumn("score", r6("score"))
 
 
 @query(f"WITH {_bm25_sql('SELECT item_id AS qid, text FROM benchmark', 20)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM ranked")
 def bm25_batch(spark, sf_dir):
-    return bm25(_document_index(spark, sf_dir), _benchmark_queries(spark, sf_dir), k=20, latin=True).withColumn("score", r6("score"))
+    return bm25(_document_index(spark, sf_dir), _benchmark_queries(spark, sf_dir), k=20).withColumn("score", r6("score"))
 
 
 @query("SELECT field, doc_id, CAST(length(text) AS BIGINT) AS chars FROM (SELECT 'raw' AS field, doc_id, text FROM documents UNION ALL SELECT 'norm', doc_id, text || chr(10) || lang FROM documents UNION ALL SELECT 'oracle', doc_id, text || chr(10) || source FROM documents)")
@@ -155,15 +166,6 @@ def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return items, items.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
-@query(f"WITH {_knn_sql(10, queries='vec_id = 0')} SELECT vec_id, round(score, 6) AS score, rank FROM near")
-def dense_topk(spark, sf_dir):
-    items = table(spark, sf_dir, "embeddings")
-    query_vector = items.where("vec_id = 0").select(F.col("embedding").alias("qvec"))
-    scored = items.crossJoin(query_vector).select("vec_id", dense.cosine(F.col("embedding"), F.col("qvec")).alias("score"))
-    best = scored.orderBy(F.round("score", 9).desc(), "vec_id").limit(10)
-    return best.select("vec_id", r6("score").alias("score"), F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "vec_id")).cast("bigint").alias("rank"))
-
-
 @query(f"WITH {_knn_sql(10)} SELECT qid, vec_id, round(score, 6) AS score, rank FROM near")
 def dense_batch_topk(spark, sf_dir):
     items, queries = _vectors(spark, sf_dir)
@@ -190,6 +192,24 @@ def _ivf(spark, sf_dir, lists: int = 32):
     return dense.Ivf.build(items, Workspace(spark, "ivf"), lists), items, queries
 
 
+@query(f"WITH {_knn_sql(10)} SELECT qid, vec_id, round(score, 6) AS score, rank FROM near")
+def ivf_all_lists(spark, sf_dir):
+    """The inverted lists give exact neighbours when all of them are probed."""
+    built, _, queries = _ivf(spark, sf_dir)
+    return built.search(queries, 10, 32).withColumn("score", r6("score"))
+
+
+@query(f"WITH {_knn_sql(10, 'e.label = 3')}, m AS (SELECT unnest(['iterative', 'prefilter', 'strict']) AS mode) SELECT mode, qid, vec_id, round(score, 6) AS score, rank FROM near, m")
+def ivf_filtered_all_lists(spark, sf_dir):
+    """The filtered modes that return k rows are exact when all lists are probed in one step."""
+    built, _, queries = _ivf(spark, sf_dir)
+    out = None
+    for mode in ("iterative", "prefilter", "strict"):
+        found = built.search(queries, 10, 32, F.col("label") == 3, mode).select(F.lit(mode).alias("mode"), "qid", "vec_id", r6("score").alias("score"), "rank")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query()
 def ivf_recall_sweep(spark, sf_dir):
     """Recall at ten for each number of probed lists, in one plan; the last point is exact."""
@@ -203,15 +223,14 @@ def ivf_recall_sweep(spark, sf_dir):
 
 @query()
 def ivf_build_grid(spark, sf_dir):
-    """Build parameters against bytes of the lists and recall at a fixed share of probes."""
+    """Build parameters against seconds and bytes of the lists and recall at a fixed share of probes."""
     rows = []
     for lists in (16, 32):
         built, items, queries = _ivf(spark, sf_dir, lists)
         truth = dense.exact_knn(items, queries, 10)
         recall = dense.recall(built.search(queries, 10, lists // 4), truth, 10).agg(F.avg("recall")).first()[0]
-        size = built.lists.agg(F.sum(F.size("embedding") * 4)).first()[0]
-        rows.append((lists, float(recall or 0), int(size or 0)))
-    return spark.createDataFrame(rows, "lists int, recall double, bytes long")
+        rows.append((lists, float(recall or 0), built.size(), built.seconds))
+    return spark.createDataFrame(rows, "lists int, recall double, bytes long, seconds double")
 
 
 @query()
@@ -252,7 +271,7 @@ _SEMANTIC = f"""
 def hybrid_rrf(spark, sf_dir):
     """Lexical and semantic rankings of every benchmark item, fused; vectors by equal identifiers."""
     queries = _benchmark_queries(spark, sf_dir)
-    lexical = bm25(_document_index(spark, sf_dir), queries, latin=True)
+    lexical = bm25(_document_index(spark, sf_dir), queries)
     items = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     asked = queries.join(items, F.col("qid") == F.col("doc_id")).select("qid", F.col("embedding").alias("qvec"))
     semantic = dense.exact_knn(items, asked, 50, "doc_id")
@@ -269,40 +288,47 @@ def hybrid_rrf(spark, sf_dir):
     SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank > 30, round(score, 9) DESC NULLS LAST, rank) AS rank FROM s
 """)
 def rerank_topn(spark, sf_dir):
-    queries, docs = _benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranked = Workspace(spark, "rerank").stage(bm25(_document_index(spark, sf_dir), queries, latin=True), "ranked")
-    return fusion.rerank(ranked, queries, docs)
+    """The first 30 of each list by overlap of the tokens that the index has written."""
+    ws, built, queries = Workspace(spark, "rerank"), _document_index(spark, sf_dir), _benchmark_queries(spark, sf_dir)
+    ranked = ws.stage(bm25(built, queries), "ranked")
+    asked = ws.stage(queries.select("qid", tx.tokenize(F.col("text")).alias("tokens")), "asked")
+    return fusion.rerank(ranked, asked, built.tokens.select("doc_id", "tokens"), score=fusion.token_overlap)
 
 
 # ---------------------------------------------------------------- normalisation
 
-_VOLT = ["V", "kV", "mV", "伏", " v", "x"]
+# a field of each kind of quantity, its units and their factors, and one that is none
+_QUANTITIES = [(f, u, k) for f in ("voltage_v", "output_current_a", "output_current_ma", "power_w", "weight_g", "speed_rpm", "rated_torque_nm") for u, k in [*nz.UNITS[FIELD_KINDS[f]].items(), ("x", None)]]
+_FACTORS = ", ".join("NULL" if k is None else f"{k!r}::DOUBLE" for *_, k in _QUANTITIES)
 
 
-@query("""
-    SELECT p_partkey, raw, round(CASE unit WHEN 'v' THEN size WHEN '伏' THEN size WHEN 'kv' THEN size * 1000 WHEN 'mv' THEN size * 0.001::DOUBLE END, 4) AS value,
-           unit NOT IN ('v', '伏', 'kv', 'mv') AS failed
-    FROM (SELECT p_partkey, raw, regexp_extract(s, '[0-9]+')::DOUBLE AS size, regexp_extract(s, '[0-9]+(.*)$', 1) AS unit FROM (
-        SELECT *, replace(replace(replace(lower(raw), ' ', ''), '约', ''), 'dc', '') AS s FROM (
-            SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'DC' WHEN 1 THEN '约' ELSE ' ' END || p_size || ['V', 'kV', 'mV', '伏', ' v', 'x'][p_partkey % 6 + 1] AS raw FROM part)))
+@query(f"""
+    SELECT p_partkey, [{", ".join(f"'{f}'" for f, *_ in _QUANTITIES)}][k] AS field, round(p_size * [{_FACTORS}][k], 4) AS value, [{_FACTORS}][k] IS NULL AS failed
+    FROM (SELECT *, p_partkey % {len(_QUANTITIES)} + 1 AS k FROM part)
 """)
 def unit_normalize(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    lead = F.get(F.array(F.lit("DC"), F.lit("约"), F.lit(" ")), (F.col("p_partkey") % 3).cast("int"))
-    unit = F.get(F.array(*[F.lit(u) for u in _VOLT]), (F.col("p_partkey") % 6).cast("int"))
-    rows = part.select("p_partkey", F.concat(lead, F.col("p_size").cast("string"), unit).alias("raw")).withColumn("n", nz.normalize("voltage_v", F.col("raw")))
-    return rows.select("p_partkey", "raw", F.col("n.value").alias("value"), F.col("n.error").isNotNull().alias("failed"))
+    """Every unit of every kind of quantity, in several spellings around it."""
+    pick = lambda i: F.get(F.array(*[F.lit(q[i]) for q in _QUANTITIES]), (F.col("p_partkey") % len(_QUANTITIES)).cast("int"))
+    lead = F.get(F.array(F.lit(""), F.lit("约"), F.lit(" ")), (F.col("p_size") % 3).cast("int"))
+    rows = table(spark, sf_dir, "part").withColumns({"field": pick(0), "raw": F.concat(lead, F.col("p_size").cast("string"), F.lit(" "), F.upper(pick(1)))})
+    n = F.coalesce(*[F.when(F.col("field") == f, nz.normalize(f, F.col("raw"))) for f in dict.fromkeys(f for f, *_ in _QUANTITIES)])
+    return rows.withColumn("n", n).select("p_partkey", "field", F.col("n.value").alias("value"), F.col("n.error").isNotNull().alias("failed"))
 
 
 @query("""
-    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size * 100.0::DOUBLE WHEN 1 THEN p_size * 1000.0::DOUBLE ELSE round(p_size / 12.5::DOUBLE * 1000 / 10) * 10 END AS capacity_mah FROM part
+    SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_size * 100.0::DOUBLE WHEN 1 THEN p_size * 1000.0::DOUBLE ELSE round(p_size / v * 1000 / 10) * 10 END AS capacity_mah, v AS voltage_v
+    FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 12.5::DOUBLE ELSE 3.7::DOUBLE END AS v FROM part)
 """)
 def capacity_with_context(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    size = F.col("p_size").cast("string")
-    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(size, F.lit("00mAh"))).when(F.col("p_partkey") % 3 == 1, F.concat(size, F.lit(" Ah"))).otherwise(F.concat(size, F.lit("Wh")))
-    voltage = nz.normalize("voltage_v", F.lit("12.5V"))["value"]
-    return part.select("p_partkey", nz.normalize("capacity_mah", raw, voltage)["value"].alias("capacity_mah"))
+    """Attributes of sheets whose capacity is in mAh, Ah or Wh; energy needs the voltage of the same sheet, in whatever row it is."""
+    part, size, k = table(spark, sf_dir, "part"), F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    capacity = F.when(k == 0, F.concat(size, F.lit("00mAh"))).when(k == 1, F.concat(size, F.lit(" Ah"))).otherwise(F.concat(size, F.lit("Wh")))
+    voltage = F.when(F.col("p_partkey") % 2 == 0, "DC12.5V").otherwise("3.7 伏")
+    row = lambda header, value: F.struct(F.lit(header).alias("header"), value.alias("value"), F.lit(None).cast("string").alias("field"), F.lit(False).alias("ambiguous"))
+    told = lambda i, field: F.struct(F.lit(i).alias("index"), F.lit(field).alias("field"), F.lit(0.9).alias("confidence"))
+    sheets = part.select(F.col("p_partkey").alias("id"), F.array(row("容量", capacity), row("电压", voltage)).alias("rows"))
+    mappings = part.select(F.col("p_partkey").alias("id"), F.struct(F.lit("battery").alias("category"), F.array(told(0, "capacity_mah"), told(1, "voltage_v")).alias("rows")).alias("mapping"))
+    return extract.build_attributes(sheets, mappings).select("id", "attributes.capacity_mah", "attributes.voltage_v")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE (CASE WHEN p_partkey % 4 = 2 THEN -p_size ELSE p_size END)::DOUBLE END AS lo, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE (p_size + 140)::DOUBLE END AS hi FROM part")
@@ -342,25 +368,46 @@ def bool_parse(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", nz.normalize("dimmable", raw)["value"].alias("flag"))
 
 
-@query("""
-    SELECT p_partkey, concat_ws(' | ', 'motor', CASE WHEN p_partkey % 2 = 0 THEN 'brushless dc bldc' END, format('{:g}', p_size / 4.0::DOUBLE) || 'v', format('{:g}', (p_partkey % 1000 + 1)::DOUBLE) || ' rpm') AS canonical FROM part
-""")
+# fields that canonical text says, in its order: their value in Spark and SQL, and what SQL says of it
+_SAID = {
+    "output_voltage_v": ("p_size / 4.0", "g v output"), "voltage_v": ("p_size * 1.5", "g v"), "output_current_a": ("p_partkey % 7 + 0.5", "g a"), "max_discharge_a": ("p_size + 1.0", "g a max discharge"),
+    "output_current_ma": ("p_size * 50.0", "g ma"), "power_w": ("p_partkey % 1000 / 8.0", "g w"), "weight_g": ("p_size * 2.0", "g g"), "speed_rpm": ("p_partkey % 1000 + 1.0", "g  rpm"),
+    "rated_torque_nm": ("p_size / 64.0", "g n·m torque"), "capacity_mah": ("p_size * 100.0", "g mah"), "plug": ("'EU'", "s  plug"), "cert": ("'CE'", "s  certified"), "chemistry": ("'LiPo'", "s "),
+    "motor_type": ("'BLDC'", "brushless dc bldc"), "ip_rating": ("'IP65'", "s "), "dimmable": ("p_size % 2 = 0", "dimmable"),
+}
+
+
+def _said_sql(i: int, field: str) -> str:
+    value, form = _SAID[field]
+    value = value.replace(".0", ".0::DOUBLE").replace(".5", ".5::DOUBLE")
+    kind, _, rest = form.partition(" ")
+    said = f"format('{{:g}}', ({value})::DOUBLE) || '{rest}'" if kind == "g" else f"{value} || '{rest}'" if kind == "s" else f"'{form}'"
+    if field == "dimmable":
+        said = f"CASE WHEN {value} THEN 'dimmable' ELSE 'non-dimmable' END"
+    return f"CASE WHEN p_partkey % {i + 2} <> 0 THEN {said} END"
+
+
+@query(f"SELECT p_partkey, lower(concat_ws(' | ', 'motor', {', '.join(_said_sql(i, f) for i, f in enumerate(_SAID))})) AS canonical FROM part")
 def canonical_text(spark, sf_dir):
-    some = {"voltage_v": F.col("p_size") / 4.0, "speed_rpm": (F.col("p_partkey") % 1000 + 1).cast("double"), "motor_type": F.when(F.col("p_partkey") % 2 == 0, "BLDC")}
+    """All sixteen fields that canonical text says, each left out of some rows."""
+    some = {f: F.when(F.col("p_partkey") % (i + 2) != 0, F.expr(v.replace(".0", ".0D").replace(".5", ".5D"))) for i, (f, (v, _)) in enumerate(_SAID.items())}
     attributes = F.struct(*[some.get(f, F.lit(None)).cast(spark_type(f)).alias(f) for f in FIELDS])
-    order = F.array(*[F.lit(f) for f in ("motor_type", "voltage_v", "speed_rpm", "moq_units")])
-    return table(spark, sf_dir, "part").withColumn("a", attributes).select("p_partkey", tx.canonical_text(F.lit("motor"), F.col("a"), order).alias("canonical"))
+    return table(spark, sf_dir, "part").withColumn("a", attributes).select("p_partkey", F.lower(tx.canonical_text(F.lit("motor"), F.col("a"))).alias("canonical"))
 
 
 @query("""
-    SELECT l_returnflag, count(*) AS total, CAST(count(*) FILTER (WHERE abs(l_extendedprice / l_quantity - p_retailprice) <= 0.02::DOUBLE * greatest(abs(p_retailprice), 1e-9::DOUBLE)) AS BIGINT) AS hits
-    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
+    SELECT CAST(sum(hit) AS BIGINT) AS hits, count(*) AS total, round(avg(hit), 6) AS accuracy
+    FROM (SELECT coalesce(abs(u - p_retailprice) <= 0.02::DOUBLE * greatest(abs(p_retailprice), 1e-9::DOUBLE), false)::INT AS hit
+          FROM part LEFT JOIN (SELECT l_partkey, min(l_extendedprice / l_quantity) AS u FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)
 """)
 def value_accuracy(spark, sf_dir):
-    """How often the price of a unit is the part's, within two per cent of it."""
-    both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    hit = nz.same("power_w", F.try_divide("l_extendedprice", "l_quantity"), F.col("p_retailprice"))
-    return both.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("hits"))
+    """Parts are sheets whose true value is their price; the least price of a unit in the order lines is what was extracted."""
+    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    filled = lambda v: F.struct(*[(v if f == "power_w" else F.lit(None)).cast(spark_type(f)).alias(f) for f in FIELDS])
+    row = F.struct(F.lit("功率").alias("header"), F.lit("").alias("value"), F.lit("power_w").alias("field"), F.lit(False).alias("ambiguous"))
+    sheets = part.select(F.col("p_partkey").alias("id"), F.array(row).alias("rows"), filled(F.col("p_retailprice")).alias("truth"))
+    price = lines.groupBy(F.col("l_partkey").alias("id")).agg(F.min(F.try_divide("l_extendedprice", "l_quantity")).alias("u"))
+    return metrics.value_accuracy(sheets, price.select("id", filled(F.col("u")).alias("attributes"))).select("hits", "total", r6("accuracy").alias("accuracy"))
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::DOUBLE = 24 AS holds FROM events")
@@ -431,10 +478,14 @@ def near_miss_pairs(spark, sf_dir):
     return catalog.near_misses(anchors, part.withColumnRenamed("p_partkey", "item"), [], ["p_brand", "p_type", "p_size"], "anchor", "item")
 
 
-@query("SELECT p_brand, p_size, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids FROM part GROUP BY p_brand, p_size")
+@query("""
+    SELECT a.p_partkey AS anchor, string_agg(CASE WHEN e = 3 THEN b.p_partkey END::VARCHAR, ',' ORDER BY b.p_partkey) AS relevant, coalesce(string_agg(CASE WHEN e = 2 THEN b.p_partkey END::VARCHAR, ',' ORDER BY b.p_partkey), '') AS hard_negatives
+    FROM (SELECT a, b, (a.p_brand = b.p_brand)::INT + (a.p_type = b.p_type)::INT + (a.p_size = b.p_size)::INT AS e FROM part a JOIN part b ON a.p_partkey % 50 = 0) WHERE e >= 2 GROUP BY 1
+""")
 def gold_lists(spark, sf_dir):
-    ids = F.array_sort(F.collect_list("p_partkey"))
-    return table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"), F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+    """Relevant parts (all fields equal) and hard negatives (all but one) of each anchor."""
+    pairs = near_miss_pairs(spark, sf_dir).withColumn("full", F.col("equal") == 3)
+    return catalog.gold_lists(pairs, "anchor", "item").select("anchor", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("relevant", "hard_negatives")])
 
 
 _JUDGED = f"""
@@ -461,7 +512,7 @@ _JUDGED = f"""
 def _judged(spark, sf_dir) -> DataFrame:
     queries = _benchmark_queries(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("rel"), (F.col("toxic") == 1).alias("hard"))
-    ranked = Workspace(spark, "judged").stage(bm25(_document_index(spark, sf_dir), queries, latin=True), "ranked")
+    ranked = Workspace(spark, "judged").stage(bm25(_document_index(spark, sf_dir), queries), "ranked")
     totals = queries.select("qid").crossJoin(labels.agg(F.count_if("rel").alias("n"), F.count_if("hard").alias("n_hard")))
     return metrics.retrieval_metrics(ranked.join(labels, "doc_id", "left"), totals)
 
@@ -482,7 +533,7 @@ def misorder(spark, sf_dir):
 @query(f"WITH {_JUDGED} SELECT lang, count(*) AS queries, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(mrr), 6) AS mrr FROM m LEFT JOIN (SELECT qid, lang FROM ranked JOIN documents USING (doc_id) WHERE rank = 1) USING (qid) GROUP BY lang")
 def metrics_by_lang(spark, sf_dir):
     """Means by the language of each query's best document."""
-    ranked = bm25(_document_index(spark, sf_dir), _benchmark_queries(spark, sf_dir), k=1, latin=True)
+    ranked = bm25(_document_index(spark, sf_dir), _benchmark_queries(spark, sf_dir), k=1)
     lang = ranked.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("qid", "lang")
     return metrics.mean_by(_judged(spark, sf_dir).join(lang, "qid", "left"), ["lang"], ["ndcg_10", "mrr"]).join(
         _benchmark_queries(spark, sf_dir).join(lang, "qid", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("queries")).withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))
@@ -500,7 +551,7 @@ def latency_percentiles(spark, sf_dir):
 @query("SELECT round(avg((event_type = 'click' AND json_extract(props, '$.k')::DOUBLE = 24)::INT), 9) AS selectivity, count(*) AS n FROM events")
 def filter_selectivity(spark, sf_dir):
     mask = (F.col("event_type") == "click") & extract.containment(F.col("props"), {"k": 24})
-    return table(spark, sf_dir, "events").agg(F.round(F.avg(mask.cast("double")), 9).alias("selectivity"), F.count(F.lit(1)).alias("n"))
+    return metrics.selectivity(table(spark, sf_dir, "events"), mask).withColumn("selectivity", F.round("selectivity", 9))
 
 
 # ---------------------------------------------------------------- sources, resuming, examples
@@ -511,10 +562,18 @@ def resume_anti_join(spark, sf_dir):
     return jsonl.remaining(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT count(*) AS missing, min(doc_id) AS first FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+@query("""
+    SELECT CASE WHEN count(*) = 0 THEN 'complete' ELSE count(*) || ' rows have no extraction yet, such as [' || string_agg(doc_id::VARCHAR, ', ' ORDER BY doc_id) FILTER (WHERE n <= 3) || ']' END AS verdict
+    FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL))
+""")
 def missing_extractions(spark, sf_dir):
-    left = jsonl.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
-    return left.agg(F.count(F.lit(1)).alias("missing"), F.min("doc_id").alias("first"))
+    """What the check for completeness says of documents without labels."""
+    try:
+        jsonl.require_complete(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+        verdict = "complete"
+    except ValueError as e:
+        verdict = str(e)
+    return spark.createDataFrame([(verdict,)], "verdict string")
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1")
@@ -524,14 +583,13 @@ def last_wins_dedupe(spark, sf_dir):
 
 @query("SELECT lang, source, doc_id, n FROM (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents) WHERE n <= 2")
 def first_examples(spark, sf_dir):
-    order = Window.partitionBy("lang", "source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.row_number().over(order).cast("bigint").alias("n")).where("n <= 2")
+    return metrics.first_of(table(spark, sf_dir, "documents").select("lang", "source", "doc_id"), ["lang", "source"], "doc_id", 2)
 
 
 @query("SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS id, ['adapter', 'battery', 'led_driver', 'motor'][p_partkey % 4 + 1] AS category, NOT regexp_matches(p_name, '[^\\x00-\\x7F]') AS ascii FROM part")
 def round_robin_ids(spark, sf_dir):
-    category = F.get(F.array(*[F.lit(c) for c in ("adapter", "battery", "led_driver", "motor")]), F.pmod("p_partkey", F.lit(4)).cast("int"))
-    return table(spark, sf_dir, "part").select(F.format_string("P%06d", "p_partkey").alias("id"), category.alias("category"), F.col("p_name").rlike(r"^[\x00-\x7F]*$").alias("ascii"))
+    own, category = catalog.in_turn(F.col("p_partkey"), "P")
+    return table(spark, sf_dir, "part").select(own.alias("id"), category.alias("category"), catalog.plain_ascii(F.col("p_name")).alias("ascii"))
 
 
 # ---------------------------------------------------------------- the generated catalog
@@ -543,6 +601,33 @@ def _catalog(spark) -> tuple[DataFrame, DataFrame]:
     return ws.stage(sheets, "sheets"), ws.stage(queries, "queries")
 
 
+@query("""
+    SELECT category, 26 AS anchors, 0 AS bad_sheets, 26 AS queries, 0 AS bad_lists FROM (VALUES ('adapter'), ('battery'), ('led_driver'), ('motor')) v(category)
+""")
+def catalog_invariants(spark, sf_dir):
+    """What must hold of a catalog: 26 families a category; a sheet has a row for each true field and no other with a field;
+    gold lists are those of comparing every query with every sheet of its category."""
+    ws = Workspace(spark, "invariants")
+    members = ws.stage(catalog.families(spark), "members")
+    sheets, queries = _catalog(spark)
+    fields = F.array_sort(F.transform(F.filter("rows", lambda r: r.field.isNotNull()), lambda r: r.field))
+    true = F.array_sort(F.filter(F.array(*[F.when(F.col(f"truth.{f}").isNotNull(), F.lit(f)) for f in FIELDS]), lambda f: f.isNotNull()))
+    bad = sheets.groupBy("category").agg(F.count_if(fields != true).cast("int").alias("bad_sheets"), F.count_distinct("id").alias("ids"), F.count(F.lit(1)).alias("n"))
+    bad = bad.withColumn("bad_sheets", F.when(F.col("ids") == F.col("n"), F.col("bad_sheets")).otherwise(-1))
+    unlike = sum((F.col(f"constraints.{f}").isNotNull() & ~F.col(f"constraints.{f}").eqNullSafe(F.col(f"truth.{f}"))).cast("int") for f in FIELDS)
+    pairs = queries.select(F.col("id").alias("qid"), "category", "constraints").join(sheets.select("id", "category", "truth"), "category").withColumn("unlike", unlike)
+    lists = pairs.groupBy("qid").agg(*[F.array_sort(F.collect_list(F.when(F.col("unlike") == i, F.col("id")))).alias(c) for i, c in enumerate(("r", "h"))])
+    judged = queries.join(lists, F.col("id") == F.col("qid")).groupBy("category").agg(F.count(F.lit(1)).cast("int").alias("queries"), F.count_if((F.col("relevant") != F.col("r")) | (F.col("hard_negatives") != F.col("h"))).cast("int").alias("bad_lists"))
+    anchors = members.groupBy("category").agg(F.count_if(F.col("kind") == "anchor").cast("int").alias("anchors"))
+    return anchors.join(bad, "category").join(judged, "category").select("category", "anchors", "bad_sheets", "queries", "bad_lists")
+
+
+@query("SELECT 'S' || lpad(CAST(i AS VARCHAR), 6, '0') AS id, ['adapter', 'battery', 'led_driver', 'motor'][i % 4 + 1] AS category, true AS told FROM range((SELECT count(*) FROM documents)) t(i)")
+def scale_items(spark, sf_dir):
+    """As many generated items as there are documents; each has a text."""
+    return catalog.scale_corpus(spark, table(spark, sf_dir, "documents").count()).select("id", "category", (F.length("text") > 0).alias("told"))
+
+
 @query()
 def catalog_sheets(spark, sf_dir):
     return _catalog(spark)[0].select("id", "category", "supplier", "title", "style", F.size("rows").alias("rows"))

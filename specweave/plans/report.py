@@ -4,18 +4,16 @@ from __future__ import annotations
 
 import html
 
-# What the page calls the search variants.
-LABELS = {
-    "bm25_raw": ("BM25", "raw sheet"),
-    "dense_raw": ("Dense", "raw sheet"),
-    "rrf_raw": ("Hybrid RRF", "raw sheet"),
-    "rrf_raw_rerank": ("Hybrid RRF + rerank", "raw sheet"),
-    "bm25_norm": ("BM25", "sheet + extracted attributes"),
-    "dense_norm": ("Dense", "sheet + extracted attributes"),
-    "rrf_norm": ("Hybrid RRF", "sheet + extracted attributes"),
-    "rrf_norm_rerank": ("Hybrid RRF + rerank", "sheet + extracted attributes"),
-    "rrf_oracle_rerank": ("Hybrid RRF + rerank", "sheet + true attributes"),
-}
+#: What the page calls the search variants: how, and over which text.
+METHODS = {"bm25": "lexical", "dense": "vectors", "rrf": "lexical and vectors, fused"}
+TEXTS = {"raw": "as the supplier wrote it", "norm": "with what was extracted", "oracle": "with the true attributes"}
+
+
+def label(variant: str) -> tuple[str, str]:
+    method, text, *more = [*variant.split("_"), "", ""][:3] if "_" in variant else (variant, "", "")
+    return METHODS.get(method, method) + (", reranked" if "rerank" in more else ""), TEXTS.get(text, text)
+
+
 KEYWORDS = ("select", "from", "join", "where", "group by", "order by", "limit", "with", "on", "as")
 
 
@@ -44,13 +42,30 @@ def grid(head: list[str], rows: list[tuple[str, list]]) -> str:
 
 def ablation_table(variants: list[dict]) -> str:
     """Variants with the best nDCG marked; the variant with true attributes is a bound, not a rival."""
+    variants = [{k.replace("@", "_"): x for k, x in v.items()} for v in variants]
     rivals = [v["ndcg_10"] or 0 for v in variants if "oracle" not in v["variant"]]
     best, rows = max(rivals, default=None), []
     for v in variants:
         kind = "oracle" if "oracle" in v["variant"] else "best" if (v["ndcg_10"] or 0) == best else ""
-        name, text = LABELS.get(v["variant"], (v["variant"], ""))
-        rows.append((kind, [name, text, *(three(v[m]) for m in ("recall_50", "p_1", "ndcg_10", "mrr", "misorder"))]))
-    return grid(["method", "text", "recall@50", "P@1", "nDCG@10", "MRR", "misorder"], rows)
+        measures = [three(v.get(m)) for m in ("recall_50", "p_1", "ndcg_10", "ndcg_10_en", "ndcg_10_zh", "mrr", "misorder")]
+        rows.append((kind, [*label(v["variant"]), *measures, "-" if v.get("p50_ms") is None else milliseconds(v["p50_ms"])]))
+    return grid(["method", "text", "recall@50", "P@1", "nDCG@10", "English", "Chinese", "MRR", "misorder", "ms a query"], rows)
+
+
+def filter_table(filtered: dict, k: int = 10) -> str:
+    """What each filtered mode returned of k rows."""
+    rows = [("", [m["mode"], f"{three(m['avg_rows_returned'])} / {k}", three(m[f"recall@{k}"]), milliseconds(m["ms"])]) for m in filtered["modes"]]
+    return f"<p>{percent(filtered['selectivity'], 2)} of rows pass; {filtered['nprobe']} lists are probed at a time.</p>" + grid(["mode", "rows", f"recall@{k}", "ms a query"], rows)
+
+
+def build_table(builds: list[dict], k: int = 10) -> str:
+    """Builds, with their recall at each number of probes."""
+    probes = sorted({p["nprobe"] for b in builds for p in b["sweep"]})
+    rows = []
+    for b in builds:
+        by = {p["nprobe"]: p[f"recall@{k}"] for p in b["sweep"]}
+        rows.append(("", [b["lists"], f"{b['build_seconds']:.1f}", f"{b['index_mb']:.1f}", *(three(by.get(p)) for p in probes)]))
+    return grid(["lists", "seconds", "MB", *(f"{p} probes" for p in probes)], rows)
 
 
 def plot(points: list[tuple[float, float]], x: tuple[float, float], y: tuple[float, float], names: tuple[str, str], line: bool, size: list[float] | None = None) -> str:
@@ -104,7 +119,7 @@ def example_rows(query: dict, titles: dict[str, str], variants: list[str]) -> st
     relevant, hard, rows = set(query["relevant"]), set(query["hard_negatives"]), []
     for v in variants:
         for d in query["top5"].get(v, []):
-            rows.append(("relevant" if d in relevant else "hard" if d in hard else "", [LABELS.get(v, (v, ""))[0], d, titles.get(d, "")]))
+            rows.append(("relevant" if d in relevant else "hard" if d in hard else "", [" ".join(label(v)), d, titles.get(d, "")]))
     return f"<h3>{html.escape(query['text'])}</h3>" + grid(["method", "document", "title"], rows)
 
 
@@ -121,6 +136,11 @@ def page(report: dict) -> str:
     if s := report.get("sweep"):
         head = list(s[0])
         parts += ["<h2>Neighbours</h2>", recall_curve(s), grid(head, [("", [x[h] if not isinstance(x[h], float) else three(x[h]) for h in head]) for x in s])]
+    if n := report.get("neighbours"):
+        k = n.get("k", 10)
+        parts += ["<h2>Neighbours</h2>", f"<p>{n['n']} rows; an exact scan takes {milliseconds(n['exact_ms'])} ms a query.</p>"]
+        parts += [recall_curve([{"seconds": p["ms"] / 1000, f"recall@{k}": p[f"recall@{k}"]} for p in b["sweep"]], k) for b in n["builds"]]
+        parts += [build_table(n["builds"], k), "<h2>Filtered neighbours</h2>", filter_table(n["filtered"], k)]
     if q := report.get("sql"):
         parts.append(f"<pre>{pretty_sql(q)}</pre>")
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Report</title></head><body>{''.join(parts)}</body></html>"

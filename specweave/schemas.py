@@ -28,8 +28,9 @@ FIELD_KINDS = {
     "dimmable": "bool",
 }
 FIELDS = list(FIELD_KINDS)
+# Categories.
 CATEGORIES = ["adapter", "battery", "led_driver", "motor"]
-#: Mapping labels that are not fields.
+# Mapping labels that are not fields.
 UNMAPPED, AMBIGUOUS = "unmapped", "ambiguous"
 # The fields that a query constrains, by category.
 QUERY_FIELDS = {
@@ -56,6 +57,7 @@ def struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
+# Names of the JSON fields of sheets, queries, mappings and extractions.
 ROW = struct(header=S, value=S, field=S, ambiguous=T.BooleanType())
 SHEET = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("id", "category", "supplier", "title")]

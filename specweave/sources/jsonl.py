@@ -14,9 +14,14 @@ from specweave import schemas
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, limit: int | None = None) -> DataFrame:
     """One record a line; the schema is given, never guessed. A line that does not parse fails the read.
 
-    ``line`` is the order of ingestion. ``limit`` keeps the first lines.
+    ``line`` is the order of ingestion, whatever task reads a file: files by
+    time of writing, then path, lines by place in their file. ``limit`` keeps
+    the first lines.
     """
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("line", F.monotonically_increasing_id())
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    # within a block of a file, numbers rise in order of reading
+    place = ["_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"]
+    rows = rows.withColumn("line", F.struct(*place, F.monotonically_increasing_id().alias("row")))
     return rows if limit is None else rows.orderBy("line").limit(limit)
 
 
@@ -39,9 +44,9 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 
 
-def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """UTF-8 JSON lines, nulls left out."""
-    rows.write.mode(mode).json(path)
+def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite", nulls: bool = True) -> None:
+    """UTF-8 JSON lines; null fields are written as such, or left out."""
+    rows.write.mode(mode).option("ignoreNullFields", not nulls).json(path)
 
 
 def remaining(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
@@ -91,6 +96,38 @@ def write_table(rows: DataFrame, path: str, by: str | None = None) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def read_text_table(spark: SparkSession, path: str, schema: T.StructType, separator: str = "\t", null: str = "\\N") -> DataFrame:
+    """A table in lines of separated text, as bulk loads take; a line that does not fit fails the read."""
+    return spark.read.schema(schema).options(sep=separator, nullValue=null, mode="FAILFAST", quote="", escape="").csv(path)
+
+
+def require(rows: DataFrame, key: list[str] | None = None, not_null: list[str] = (), parent: tuple[list[str], DataFrame] | None = None) -> DataFrame:
+    """``rows`` as they are, if they keep the constraints of a table; else an error that names the first broken one.
+
+    ``key`` is unique and not null, ``not_null`` columns are filled, and the
+    first columns of ``parent`` occur in its frame's columns of the same place.
+    One pass counts nulls, one grouped count finds repeated keys.
+    """
+    filled = [*(key or []), *(c for c in not_null if c not in (key or []))]
+    if filled:
+        nulls = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in filled]).first()
+        if broken := [c for c in filled if nulls[c]]:
+            raise ValueError(f"{nulls[broken[0]]} rows have no {broken[0]}")
+    if key and (twice := rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").orderBy(*key).first()):
+        raise ValueError(f"{twice['__n']} rows have the key {tuple(twice[c] for c in key)}")
+    if parent:
+        columns, frame = parent
+        named = frame.toDF(*[f"__p{i}" for i in range(len(frame.columns))])
+        same = [F.col(c) == F.col(f"__p{i}") for i, c in enumerate(columns)]
+        if lost := rows.where(F.concat(*[F.col(c).cast("string") for c in columns]).isNotNull()).join(named, same, "left_anti").first():
+            raise ValueError(f"{tuple(lost[c] for c in columns)} has no parent")
+    return rows
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 

@@ -9,12 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OPEN: dict[str, Workspace] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a temporary folder of a local session alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         root = "file://" + tempfile.mkdtemp(prefix="specweave-")
         spark.sparkContext.setCheckpointDir(root)
     # a path without a scheme is one of the default file system, for every reader of it
@@ -26,19 +31,27 @@ class Workspace:
     """A folder of staged tables under :func:`shared_root`.
 
     ``stage`` cuts lineage with a written table (it survives lost executors);
-    ``drop`` removes a staged table once nothing reads it any more. What is left,
-    as results read it, goes when the driver's process ends.
+    ``drop`` removes a staged table once nothing reads it any more, ``close`` all
+    of them. What is left, as results read it, goes when the driver's process ends
+    or, in a long session, with :func:`close_all` once its results are read.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._remove)
+        _OPEN[self.path] = self
 
-    def _remove(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
+    def close(self) -> None:
+        """Removes the folder; frames that still read it fail."""
+        if _OPEN.pop(self.path, None) is not None and self.spark.sparkContext._jsc is not None:
             self.drop("")
 
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def stage(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Writes a table, in folders by a column where one is given, and returns it as read again."""
         to = f"{self.path}/{name}"
@@ -53,5 +66,21 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+@atexit.register
+def close_all() -> None:
+    """Closes every workspace of this process."""
+    for ws in list(_OPEN.values()):
+        ws.close()
+
+
+def size_of(spark: SparkSession, *paths: str) -> int:
+    """Bytes of files and folders."""
+    total = 0
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

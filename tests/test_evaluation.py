@@ -170,6 +170,11 @@ def test_containment(spark):
     holds = lambda want: [r.h for r in df.select("i", extract.containment(F.col("t"), want).alias("h")).orderBy("i").collect()]
     assert holds({"a": 24}) == [True, True, False, False, False, False]
     assert holds({"b": {"c": "x", "d": [2]}, "t": True}) == [True] + [False] * 5
+    nested = ['{"p": [{"k": 1, "s": ["x", "y"]}, {"k": 2}], "q": [[1, 2], [3]], "m": [1, "1", null, true]}', '{"p": [{"k": 1}, {"s": ["x"]}]}']
+    df2 = spark.createDataFrame(list(enumerate(nested)), "i int, t string")
+    said = lambda want: [r.h for r in df2.select("i", extract.containment(F.col("t"), want).alias("h")).orderBy("i").collect()]
+    assert said({"p": [{"k": 1, "s": ["x"]}]}) == [True, False] and said({"p": [{"k": 1}, {"k": 2}]}) == [True, False] and said({"p": [{"k": 3}]}) == [False, False]
+    assert said({"q": [[2], [3]]}) == [True, False] and said({"q": [[1, 3]]}) == [False, False] and said({"m": ["1", None, True]}) == [True, False] and said({"m": [2]}) == [False, False]
     assert holds({}) == [True, True, True, True, False, False] or holds({})[0]
 
 
@@ -188,6 +193,74 @@ def test_json_lines(spark, tmp_path, made):
     assert jsonl.read_document(f"{tmp_path}/x.json") == {"a": "é"}
 
 
+def test_containment_is_pruned_by_shredded_columns(spark, tmp_path):
+    texts = ['{"k": 24, "c": "motor"}', '{"k": 24.0, "c": "motor"}', '{"k": 2.4e1, "c": "motor"}', '{"k": 25, "c": "motor"}', '{"k": "24", "c": "motor"}', '{"c": "motor"}', None]
+    df = extract.shredded(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", ["k", "c"])
+    kept = jsonl.write_table(df.sortWithinPartitions("t_c", "t_k"), f"{tmp_path}/shredded")
+    found = extract.contained(kept, "t", {"k": 24, "c": "motor"})
+    assert sorted(r.i for r in found.collect()) == [0, 1, 2] and "EqualTo(t_c,motor)" in jsonl.explained(found)
+
+
+def test_a_model_is_asked_with_prompt_and_schema(spark):
+    sheet, _ = mapped(spark, [])
+    asked = []
+
+    def complete(prompt, schema):
+        asked.append((prompt, schema))
+        if len(asked) == 1:
+            return json.dumps({"category": "boat", "rows": []}), {"input": 5, "output": 1}
+        return json.dumps({"category": "battery", "rows": [{"index": 1, "field": "voltage_v", "confidence": 0.9}]}), {"input": 7, "output": 2}
+
+    rows = [("容量", "9.62Wh"), ("电压", "3.7V")]
+    got = extract.asking(complete)("t", rows)
+    assert got["rows"][0]["field"] == "voltage_v" and got["usage"] == {"input": 12, "output": 3}
+    prompt, schema = asked[0]
+    assert all(x in prompt for x in (*schemas.FIELDS, "容量", "3.7V")) and schema["properties"]["rows"]["items"]["properties"]["field"]["enum"][:2] == schemas.FIELDS[:2]
+    assert schema["additionalProperties"] is False and set(schema["required"]) == {"category", "rows"}
+    for broken in ("{", "[]", json.dumps({"category": "motor", "rows": [{"index": 0.5, "field": "plug", "confidence": 1}]}), json.dumps({"category": "motor", "rows": [], "more": 1})):
+        with pytest.raises(ValueError, match="no valid answer in 2 tries"):
+            extract.asking(lambda p, s: broken)("t", rows)  # noqa: B023
+    answer = json.dumps({"category": "battery", "rows": [{"index": 1, "field": "voltage_v", "confidence": 0.9}, {"index": 0, "field": "capacity_mah", "confidence": 0.8}]})
+    out = extract.extract(sheet, extract.asking(lambda p, s: answer)).first()
+    assert (out.attributes.voltage_v, out.attributes.capacity_mah) == (3.7, 2600.0)
+
+
+def test_later_lines_win_whatever_task_reads_them(spark, tmp_path):
+    import os
+
+    line = lambda i, c: json.dumps({"id": i, "mapping": {"category": c, "rows": []}}) + "\n"
+    files = {"b.json": line("x", "adapter") + line("y", "adapter"), "a.json": line("x", "battery") + "".join(line(f"z{i}", "motor") for i in range(3000)) + line("x", "motor"), "c.json": line("y", "motor")}
+    os.mkdir(f"{tmp_path}/in")
+    for n, (name, text) in enumerate(files.items()):
+        (tmp_path / "in" / name).write_text(text)
+        os.utime(tmp_path / "in" / name, (1_000_000 + n, 1_000_000 + n))
+    got = {r.id: r.mapping.category for r in jsonl.read_extractions(spark, f"{tmp_path}/in").where("id in ('x', 'y')").collect()}
+    assert got == {"x": "motor", "y": "motor"}
+    assert [r.id for r in jsonl.read_jsonl(spark, f"{tmp_path}/in", schemas.EXTRACTION, limit=3).orderBy("line").collect()] == ["x", "y", "x"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)  # a file in several splits
+    again = {r.id: r.mapping.category for r in jsonl.read_extractions(spark, f"{tmp_path}/in").where("id in ('x', 'y')").collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert again == got
+
+
+def test_constraints_and_text_tables(spark, tmp_path):
+    schema = "field string, doc_id string, len int"
+    (tmp_path / "t.txt").write_text("raw\ta\t1\nraw\t\\N\t2\nnorm\ta\t3\n")
+    rows = jsonl.read_text_table(spark, f"{tmp_path}/t.txt", spark.createDataFrame([], schema).schema)
+    assert rows.count() == 3 and rows.where("doc_id is null").count() == 1
+    with pytest.raises(ValueError, match="1 rows have no doc_id"):
+        jsonl.require(rows, key=["field", "doc_id"])
+    good = rows.where("doc_id is not null")
+    assert jsonl.require(good, key=["field", "doc_id"], not_null=["len"], parent=(["doc_id"], spark.createDataFrame([("a",)], "id string"))) is good
+    with pytest.raises(ValueError, match="2 rows have the key"):
+        jsonl.require(good, key=["doc_id"])
+    with pytest.raises(ValueError, match="has no parent"):
+        jsonl.require(good, parent=(["doc_id"], spark.createDataFrame([("b",)], "id string")))
+    (tmp_path / "n.json").write_text("")
+    jsonl.write_jsonl(spark.createDataFrame([("a", None)], "id string, v int").coalesce(1), f"{tmp_path}/nulls")
+    assert '"v":null' in "".join(p.read_text() for p in (tmp_path / "nulls").glob("part-*"))
+
+
 def test_last_line_wins(spark):
     rows = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 2)], "id string, v int, line long")
     assert sorted((r.id, r.v) for r in jsonl.last_wins(rows, ["id"], "line").collect()) == [("a", 2), ("b", 3)]
@@ -213,6 +286,24 @@ def test_ablation_and_page(spark, made, tmp_path):
     assert "never overconfident" in text and "<b>select</b> a &lt; b" in text and 'class="best"' in text
 
 
+def test_evaluation_from_end_to_end(spark, tmp_path):
+    from specweave.plans import evaluate
+
+    out = evaluate.run(spark, str(tmp_path), per_category=3, scale=400)
+    ev = jsonl.read_document(f"{tmp_path}/eval.json")
+    assert list(ev["retrieval"]["variants"]) == metrics.VARIANTS and ev["retrieval"]["n_queries"] == 12 == len(ev["retrieval"]["examples"])
+    for v in ev["retrieval"]["variants"].values():
+        assert 0 <= v["ndcg@10"] <= 1 and 0 < v["p50_ms"] <= v["p95_ms"]
+    one = next(iter(ev["retrieval"]["examples"].values()))
+    assert set(one["top5"]) == set(metrics.VARIANTS) and all(len(t) <= 5 for t in one["top5"].values()) and one["relevant"]
+    near = jsonl.read_document(f"{tmp_path}/neighbours.json")
+    assert [b["sweep"][-1]["recall@10"] for b in near["builds"]] == [1.0, 1.0] and all(b["index_mb"] > 0 for b in near["builds"])
+    modes = {m["mode"]: m for m in near["filtered"]["modes"]}
+    assert modes["postfilter"]["avg_rows_returned"] <= modes["iterative"]["avg_rows_returned"] and near["filtered"]["selectivity"] > 0
+    page = (tmp_path / "index.html").read_text()
+    assert all(x in page for x in ("Filtered neighbours", "iterative", "lexical and vectors, fused, reranked", 'class="oracle"', 'class="best"')) and out["extraction"]["rows"] > 0
+
+
 def test_stream_resumes(spark, made, tmp_path):
     sheets, _ = made
     jsonl.write_jsonl(sheets.limit(4).coalesce(1), f"{tmp_path}/in")

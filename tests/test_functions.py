@@ -104,3 +104,18 @@ def test_canonical_and_raw_text(spark):
     assert row.u == "12.8v"
     assert row.r == "Title\n电压: 12V\nMOQ: 5"
     assert len(ATTRIBUTES) == 20
+
+
+@pytest.mark.parametrize("text", ["12V ½ kg ①②", "ＤＣ１２Ｖ　电源", "ﬁne ﬂow", "naïve café Ünï", "x́ yé", "plain 5 kg", "无刷电机 24V", "", None, "Å Ω µF"])
+def test_rows_leave_the_jvm_only_where_it_matters(spark, text):
+    """Folding and segmentation of the rows that need them give what doing it for all rows gives."""
+    import unicodedata
+
+    from specweave.functions import segment
+
+    df = spark.createDataFrame([(text,), ("other plain row",)], "t string")
+    whole = F.lower(F.lit(None if text is None else unicodedata.normalize("NFKC", text)))
+    s = F.regexp_replace(F.replace(whole, F.lit("°c"), F.lit("c")), r"(?<![a-z])(dc|ac)(?=\d)", "$1 ")
+    want = tx.without_stop_words(segment.segmented(F.regexp_extract_all(s, F.lit(f"({tx.HAN}|{tx.SPEC}|{tx.WORD})"), F.lit(1))))
+    row = df.where(F.col("t").eqNullSafe(F.lit(text))).select(tx.tokenize(F.col("t")).alias("got"), want.alias("want")).first()
+    assert row.got == row.want

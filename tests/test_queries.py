@@ -38,3 +38,40 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_the_rest_lives_without_the_optional_folders(tmp_path):
+    """A copy of the tree without them imports, and registers the other queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root, to = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), tmp_path / "copy"
+    shutil.copytree(root, to, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    say = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), len(o), any(n[:2] == 'op' or n == 'pipeline' for n in q))"
+    for more in ([], ["corpus_pipeline.py"]):  # the pipeline's file alone does not count either
+        for name in more:
+            shutil.copy(f"{root}/{name}", to) if os.path.exists(f"{root}/{name}") else None
+        out = subprocess.run([sys.executable, "-c", say], cwd=to, env={**os.environ, "PYTHONPATH": str(to)}, capture_output=True, text=True, check=True).stdout
+        assert out.split() == [str(len(catalogue.QUERIES)), str(len(catalogue.ORACLES)), "False"]
+
+
+def test_no_local_folder_off_a_local_session(monkeypatch):
+    from types import SimpleNamespace
+
+    from specweave import workspace
+
+    none = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="share"):
+        workspace.shared_root(none)
+
+
+def test_workspaces_close(spark):
+    from specweave.workspace import Workspace, size_of
+
+    with Workspace(spark, "closing") as ws:
+        df = ws.stage(spark.range(5), "t")
+        assert df.count() == 5 and size_of(spark, ws.path) > 0
+    with pytest.raises(Exception):
+        df.count()

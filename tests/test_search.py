@@ -154,3 +154,85 @@ def test_recall_counts_missing_rows(spark):
     found = spark.createDataFrame([(1, 0), (1, 1), (1, 99)], "qid int, vec_id long")
     row = dense.recall(found, truth, 10).first()
     assert (row.recall, row["rows"]) == (0.2, 3)
+
+
+def test_a_model_is_loaded_once_in_a_worker(spark, tmp_path):
+    from specweave.functions.providers import Once
+
+    log = str(tmp_path / "loads")
+
+    def model():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    provider = Once(model)
+    texts = spark.range(64, numPartitions=8).selectExpr("cast(id as string) as t")
+    for _ in range(3):
+        rows = texts.select(dense.embed(F.col("t"), "query", provider).alias("v"), F.col("t")).collect()
+        assert all(r.v == [len("query: " + r.t), 1.0] for r in rows)
+    loads = open(log).read().split()
+    assert len(loads) == len(set(loads)) and len(rows) == 64  # no process loads it twice
+
+
+def test_index_refreshes_and_goes(spark):
+    _, ix = built(spark)
+    assert ix.seconds > 0 and set(ix.size()) == {"tokens", "postings", "terms"} and all(n > 0 for n in ix.size().values())
+    before = sorted(map(tuple, ix.terms.collect()))
+    ix.refresh()
+    assert sorted(map(tuple, ix.terms.collect())) == before
+    ix.drop()
+    with pytest.raises(Exception):
+        ix.postings.count()
+
+
+def test_reranking_by_written_tokens_is_that_by_texts(spark):
+    texts, ix = built(spark)
+    lists = ranked(spark, {1: ["d6", "d1", "d2", "d3"], 2: ["d2", "d5"]})
+    queries = spark.createDataFrame([(1, "12V EU motor motor"), (2, "")], "qid int, text string")
+    by_text = fusion.rerank(lists, queries, texts.select("doc_id", "text"))
+    tokens = Workspace(spark, "asked").stage(queries.select("qid", F.split("text", " ").alias("tokens")), "asked")
+    from specweave.functions import text as tx
+
+    tokens = Workspace(spark, "asked").stage(queries.select("qid", tx.tokenize(F.col("text")).alias("tokens")), "asked")
+    by_tokens = fusion.rerank(lists, tokens, ix.tokens.select("doc_id", "tokens"), score=fusion.token_overlap)
+    assert sorted(map(tuple, by_text.collect())) == sorted(map(tuple, by_tokens.collect()))
+    assert "Python" not in by_tokens._jdf.queryExecution().toString() and "ArrowEval" not in by_tokens._jdf.queryExecution().toString()
+
+
+def test_exact_neighbours_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(dense, "ROW_TILE", 7)
+    monkeypatch.setattr(dense, "QUERY_TILE", 2)
+    x, items, queries = vectors(spark)
+    got = dense.exact_knn(items.repartition(2), queries, 10).orderBy("qid", "rank").collect()
+    for q in range(0, 300, 50):
+        assert [r.vec_id for r in got if r.qid == q] == brute(x, q, 10)
+    none = dense.exact_knn(items.limit(0), queries, 10)
+    assert none.count() == 0 and dense.exact_knn(items, queries.limit(0), 10).count() == 0
+
+
+def test_strict_and_iterative_agree_with_plain_widening(spark):
+    """Lists are read in steps until k rows pass, by loops."""
+    x, items, queries = vectors(spark)
+    ivf = dense.Ivf.build(items, Workspace(spark, "ivf"), 8)
+    where = {r.vec_id: r["list"] for r in ivf.lists.collect()}
+    got = {}
+    for r in ivf.search(queries, 10, 2, F.col("label") == 3, "iterative").collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.vec_id))
+    for q in range(0, 300, 50):
+        order = np.argsort(((ivf.centres - x[q]) ** 2).sum(axis=1), kind="stable").tolist()
+        passed, step = [], 0
+        while len(passed) < 10 and step < 8:
+            passed += [i for i in range(300) if i % 10 == 3 and where[i] in order[step : step + 2]]
+            step += 2
+        assert [i for _, i in sorted(got[q])] == [i for i in brute(x, q, 300) if i in passed][:10]
+
+
+def test_a_product_of_all_rows_is_refused(spark):
+    from specweave.operators import catalog
+
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    with pytest.raises(ValueError, match="every pair"):
+        catalog.near_misses(df, df, [], ["b"], "a", "a")
