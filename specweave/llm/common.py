@@ -64,9 +64,9 @@ def bounded_rows(docs: DataFrame, wanted: DataFrame, columns: list[str], id: str
             taken.append(key)
     if len(taken) < len(sizes):
         least = least.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in taken], wanted.select(id).schema)), id)
-    got = least.drop("__bytes").toArrow()
-    ws.drop("")
-    return got.sort_by([("__hash", "ascending"), (id, "ascending")]).drop_columns(["__hash"])
+    got = least.drop("__bytes").orderBy("__hash", id).drop("__hash").toArrow()
+    ws.close()
+    return got
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, rows: int, most: int = SAMPLE_BYTES):
@@ -83,10 +83,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    got = bounded_rows(docs.where(F.col("text").isNotNull()), ids, ["text"], "doc_id", most).sort_by("doc_id")
-    texts, y = got.column("text").to_pylist(), got.column("__label").to_pylist()
+    got = bounded_rows(docs.where(F.col("text").isNotNull()), ids, ["text"], "doc_id", most)
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     seen, out_t, out_y = set(), [], []
-    for text, own in zip(texts, y):
+    for i in order.tolist():
+        text, own = got.column("text")[i].as_py(), got.column("__label")[i].as_py()
         key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key not in seen:
             seen.add(key)

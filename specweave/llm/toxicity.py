@@ -25,7 +25,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +62,10 @@ KEEP = 0.9
 
 _LOOK = {ord(k): v for k, v in LOOKALIKES.items()} | {ord(c): None for c in INVISIBLE}
 _LETTERS = str.maketrans(SIGNS)
-# Letters with the signs that they turn into letters: digits on either side, other signs before
-# them, and so on from each that has become one. Possessive and tied to the start of a run of
-# signs, so that it takes linear time on any text.
-_SIGNED = re.compile(r"(?<![013-57-9@$!|])[013-57-9@$!|]*+[^\W\d_](?:[^\W\d_]|[013-57-9]|[013-57-9@$!|]++[^\W\d_])*+")
+# From a sign that becomes a letter on: digits do beside a letter, other signs before one, and so
+# on from each that has become one. Possessive and tied to the start of a run of signs, so that it
+# takes linear time on any text.
+_SIGNED = re.compile(r"[013-57-9@$!|](?:(?<=[^\W\d_][013-57-9])|(?<![013-57-9@$!|][013-57-9@$!|])[013-57-9@$!|]*+[^\W\d_])(?:[^\W\d_]|[013-57-9]|[013-57-9@$!|]++[^\W\d_])*+")
 _ODD = re.compile(r"[0-9@$!|]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -164,11 +164,10 @@ def learn(texts: list[str], y: np.ndarray, seeds: dict[str, float] | None = None
         having = {w: found for w in vocabulary[label] if (found := parts(w))}
         words = having.keys()
         for families in groupings:
-            members: dict[int, set[str]] = {}
-            for text, family, v in zip(folded, families, y):
-                if v == label:
-                    members.setdefault(family, set()).update([w for w in set(text.split()) if w in words])
-            here = Counter(x for own in members.values() for x in {x for w in own for x in having[w]})
+            here: Counter = Counter()
+            rows = sorted((family, i) for i, (family, v) in enumerate(zip(families, y)) if v == label)
+            for _, own in groupby(rows, lambda r: r[0]):  # a family's words at a time
+                here.update({x for w in {w for _, i in own for w in folded[i].split()} & words for x in having[w]})
             fewest = here if fewest is None else Counter({k: n for k in here if (n := min(here[k], fewest[k]))})
         return fewest
 
