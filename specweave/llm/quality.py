@@ -40,32 +40,45 @@ SEED = 20240501
 
 def features(raw: bytes) -> Iterator[np.ndarray]:
     """Bucket numbers of the features of a text: of its words, then of the runs of characters, a piece at a time."""
-    words = word_hashes(raw)
-    if not len(words):
-        return
-    yield bucket(words, 1)
-    again = np.count_nonzero(words[1:] == words[:-1])
-    if again:
-        yield bucket(np.zeros(again, np.uint64), 2)
-    before, rest = b" ", pieces(raw)
+    rest, before = pieces(raw), b" "
     part = next(rest)
+    if len(part) < len(raw):
+        yield from _of_words(word_hashes(raw))
     while part is not None:
         after = next(rest, None)
         b = np.frombuffer(before + part + (b" " if after is None else b""), np.uint8)
-        at = np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))  # where characters begin
-        old = np.searchsorted(at, len(before)) if before != b" " else 1  # characters of the piece before
         gap = (b == 32) | ((b >= 9) & (b <= 13))
         up, down = powers(len(b) + 1)
         value = np.where(gap, np.uint64(33), b.astype(np.uint64) + np.uint64(1))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * up[:-1], dtype=np.uint64)))
-        gaps = np.concatenate((np.zeros(1, np.int32), np.cumsum(gap[at[:-1]], dtype=np.int32)))  # by character
-        n_chars = len(at) - 1
+        if len(part) == len(raw):
+            edge = np.flatnonzero(gap[1:] != gap[:-1])
+            start, end = edge[::2] + 1, edge[1::2] + 1
+            if not len(start):
+                return
+            yield from _of_words(mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
+        ascii = len(before) == 1 and part.isascii()
+        at = None if ascii else np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))  # where characters begin
+        n_chars = len(b) if ascii else len(at) - 1
+        old = 1 if len(before) == 1 else int(np.searchsorted(at, len(before)))  # characters of the piece before
+        gaps = np.concatenate((np.zeros(1, np.int32), np.cumsum(gap if ascii else gap[at[:-1]], dtype=np.int32)))  # by character
         for n in GRAMS:
-            first = np.arange(max(0, old - n + 1), n_chars - n + 1)  # the others ended in the piece before
-            first = first[gaps[first + n - 1] == gaps[first + 1]]  # only the edges may be white space
-            start, end = at[first], at[first + n]
-            yield bucket((sums[end] - sums[start]) * down[start], n)
-        before, part = bytes(b[at[max(0, n_chars - max(GRAMS) + 1)] :]), after
+            least = max(0, old - n + 1)  # those before ended in the piece before
+            if n_chars - n >= least:  # only the edges may be white space
+                first = least + np.flatnonzero(gaps[least + n - 1 : n_chars] == gaps[least + 1 : n_chars - n + 2])
+                start, end = (first, first + n) if ascii else (at[first], at[first + n])
+                yield bucket((sums[end] - sums[start]) * down[start], n)
+            else:
+                yield np.zeros(0, np.int32)
+        keep = max(0, n_chars - max(GRAMS) + 1)
+        before, part = bytes(b[keep if ascii else at[keep] :]), after
+
+
+def _of_words(words: np.ndarray) -> Iterator[np.ndarray]:
+    yield bucket(words, 1)
+    again = np.count_nonzero(words[1:] == words[:-1])
+    if again:
+        yield bucket(np.zeros(again, np.uint64), 2)
 
 
 def bucket(h: np.ndarray, kind: int) -> np.ndarray:
