@@ -71,7 +71,7 @@ def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def spec_tokens(text: Column, latin: bool = False) -> Column:
     """Runs of Chinese, numbers with their unit, and words, in order; before segmentation and stop words."""
-    odd = text.rlike(f"[^{PLAIN}]")
+    odd = (F.octet_length(text) != F.length(text)) & text.rlike(f"[^{PLAIN}]")  # ASCII is told by its length
     s = F.lower(text if latin else F.when(odd, nfkc(F.when(odd, text))).otherwise(text))
     s = F.replace(s, F.lit("°c"), F.lit("c"))
     s = F.regexp_replace(s, r"(?<![a-z])(dc|ac)(?=\d)", "$1 ")
