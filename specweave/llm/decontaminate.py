@@ -4,7 +4,8 @@ A document and a benchmark item that share a seed (a run of SEED words) are
 compared: the longest run of words that both have and that no tile covers yet
 becomes a tile, again and again, down to SEED words. Runs are found by running
 Karp-Rabin: rolling hashes of windows whose length is halved when nothing that
-long is left. The order of the tiles does not matter, so reordered passages
+long is left. Only the stretches of a document that an item's seeds cover are
+compared with it. The order of the tiles does not matter, so reordered passages
 are found too. A document is contaminated by an item if the tiles cover at
 least COVERAGE of the item's words.
 
@@ -31,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import BASE, free, mixed, small_batches, word_hashes
+from specweave.llm.common import free, mixed, powers, small_batches, word_hashes
 from specweave.workspace import Workspace
 
 SEED = 5
 COVERAGE = 0.5
 #: Most text of a benchmark that is broadcast; a worker's index of it takes about eight times as much.
 BROADCAST_BYTES = 16 << 20
+#: Windows that are hashed at a time, and pairs of equal windows that are held at a time.
+STRETCH, PAIRS = 1 << 20, 1 << 20
 VERDICT = "struct<contaminated: boolean, coverage: double, item_id: bigint, items: array<bigint>>"
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -48,40 +51,62 @@ def tokens(text: str | None) -> np.ndarray:
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
-    """Rolling hashes of all windows of ``size`` words."""
-    if len(words) < size:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(len(words) - size + 1, np.uint64)
-    for i in range(size):
-        h = h * np.uint64(BASE) + words[i : len(words) - size + 1 + i]
-    return mixed(h)
-
-
-def tiles(one: np.ndarray, two: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
+    """Hashes of all windows of ``size`` words, as differences of running sums: linear for any size."""
+    out = [np.zeros(0, np.uint64)]
+    for at in range(0, len(words) - size + 1, STRETCH):
+        own = words[at : at + STRETCH + size - 1]
+        up, down = powers(len(own))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * up, dtype=np.uint64)))
+        out.append(mixed((sums[size:] - sums[:-size]) * down[: len(own) - size + 1]))
+    return np.concatenate(out)
+
+
+def _uncovered(free: np.ndarray, size: int) -> np.ndarray:
+    """Where windows of ``size`` words begin that no tile covers a word of."""
+    n = np.concatenate((np.zeros(1, np.int64), np.cumsum(free)))
+    return np.flatnonzero(n[size:] - n[:-size] == size)
+
+
+def _matches(one: np.ndarray, two: np.ndarray, free_1: np.ndarray, free_2: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(-words, start in two, start in one) of the longest uncovered matches of ``size`` words or more, sorted."""
+    if size > min(len(one), len(two)):
+        return []
+    at_1, at_2 = _uncovered(free_1, size), _uncovered(free_2, size)
+    h_1, h_2 = windows(one, size)[at_1], windows(two, size)[at_2]
+    order = np.argsort(h_1, kind="stable")
+    lo, hi = np.searchsorted(h_1[order], h_2, "left"), np.searchsorted(h_1[order], h_2, "right")
+    till, found, first = np.cumsum(hi - lo), [], 0
+    while first < len(till):  # some PAIRS pairs of equal windows at a time
+        last = max(first + 1, int(np.searchsorted(till, (till[first - 1] if first else 0) + PAIRS, "right")))
+        n = (hi - lo)[first:last]
+        j = np.repeat(at_2[first:last], n)
+        i = at_1[order[np.repeat(lo[first:last], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]
+        inner = (i > 0) & (j > 0)  # a match that can be longer to the left is part of another
+        inner[inner] = (one[i[inner] - 1] == two[j[inner] - 1]) & free_1[i[inner] - 1] & free_2[j[inner] - 1]
+        for a, b in zip(i[~inner].tolist(), j[~inner].tolist()):
+            most = min(len(one) - a, len(two) - b)
+            for n in (min(2 * size, most), most):  # few go beyond twice the size
+                alike = (one[a : a + n] == two[b : b + n]) & free_1[a : a + n] & free_2[b : b + n]
+                if not alike.all():
+                    n = int(alike.argmin())
+                    break
+            if n >= size:
+                found.append((-n, b, a))
+        first = last
+    return sorted(found)
+
+
+def tiles(one: np.ndarray, two: np.ndarray, least: int = SEED, size: int = 0) -> list[tuple[int, int, int]]:
     """Greedy tiling of word sequences: (start in one, start in two, words), in the order found.
 
     Longer tiles come first; of equal ones, that which begins first in ``two``, then in ``one``.
+    The first windows have ``size`` words, by default those of the shorter sequence.
     """
     free_1, free_2 = np.ones(len(one), bool), np.ones(len(two), bool)
-    found, size = [], max(least, min(len(one), len(two)))
+    found, size = [], max(least, size or min(len(one), len(two)))
     while size >= least:
-        whole = [np.flatnonzero(np.convolve(f, np.ones(size, np.int64), "valid") == size) if len(f) >= size else np.zeros(0, np.int64) for f in (free_1, free_2)]
-        h = [windows(w, size)[at] for w, at in zip((one, two), whole)]
-        order = np.argsort(h[0], kind="stable")
-        lo, hi = np.searchsorted(h[0][order], h[1], "left"), np.searchsorted(h[0][order], h[1], "right")
-        n = hi - lo
-        j = np.repeat(whole[1], n)
-        i = whole[0][order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]] if n.sum() else np.zeros(0, np.int64)
-        inner = (i > 0) & (j > 0)  # a match that can be longer to the left is part of another
-        inner[inner] = (one[i[inner] - 1] == two[j[inner] - 1]) & free_1[i[inner] - 1] & free_2[j[inner] - 1]
-        matches = []
-        for a, b in zip(i[~inner].tolist(), j[~inner].tolist()):
-            k = size
-            while a + k < len(one) and b + k < len(two) and free_1[a + k] and free_2[b + k] and one[a + k] == two[b + k]:
-                k += 1
-            if (one[a : a + k] == two[b : b + k]).all():
-                matches.append((-k, b, a))
-        for k, b, a in sorted(matches):
+        matches = _matches(one, two, free_1, free_2, size)
+        for k, b, a in matches:
             if free_1[a : a - k].all() and free_2[b : b - k].all():
                 free_1[a : a - k] = free_2[b : b - k] = False
                 found.append((a, b, -k))
@@ -92,6 +117,13 @@ def tiles(one: np.ndarray, two: np.ndarray, least: int = SEED) -> list[tuple[int
     return found
 
 
+def stretches(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The words within windows of ``size`` words that begin at ``starts`` (rising); what lies between becomes one word that nothing equals."""
+    edge = np.flatnonzero(np.diff(starts) > size)
+    first, last = starts[np.concatenate(([0], edge + 1))], starts[np.append(edge, len(starts) - 1)] + size
+    return np.concatenate([x for a, b in zip(first.tolist(), last.tolist()) for x in (words[a:b], np.zeros(1, np.uint64))][:-1])
+
+
 class Benchmark:
     """Items' words and an index from seeds to items."""
 
@@ -115,11 +147,13 @@ class Benchmark:
         words, found = tokens(text), []
         for size, h, owner in self.index:
             own = windows(words, size)
-            at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-            hit = np.unique(own[h[at] == own])
+            place = np.flatnonzero(h[np.minimum(np.searchsorted(h, own), len(h) - 1)] == own)  # of the text's seeds
+            hit = np.unique(own[place])
             lo, hi = np.searchsorted(h, hit, "left"), np.searchsorted(h, hit, "right")
             for k in sorted({int(k) for a, b in zip(lo, hi) for k in owner[a:b]}):
-                covered = sum(n for *_, n in tiles(words, self.words[k], size)) / len(self.words[k])
+                item = self.words[k]
+                shared = stretches(words, place[np.isin(own[place], windows(item, size))], size)  # no tile is outside
+                covered = sum(n for *_, n in tiles(shared, item, size, min(len(words), len(item)))) / len(item)
                 found.append((-covered, self.ids[k]))
         found.sort()
         over = sorted({item for c, item in found if -c >= self.coverage})

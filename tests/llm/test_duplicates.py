@@ -187,6 +187,41 @@ def test_tiles_cover_as_much_as_greedy():
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
 
+def test_windows_by_stretches_and_stretches_of_seeds(monkeypatch):
+    """Hashes and coverage are alike for any length of stretch, and for the seeds' stretches as for the whole text."""
+    rng = np.random.default_rng(11)
+    for _ in range(100):
+        two = rng.integers(1, 9, int(rng.integers(3, 40))).astype(np.uint64)
+        one = np.concatenate([x for _ in range(4) for a in [int(rng.integers(0, len(two)))] for x in (rng.integers(1, 9, 6).astype(np.uint64), two[a : a + 9])])
+        whole = [decontaminate.windows(one, n) for n in (3, 7, 20)]
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate, "STRETCH", 5)
+            m.setattr(decontaminate, "PAIRS", 3)
+            assert all((x == decontaminate.windows(one, n)).all() and len(x) == max(0, len(one) - n + 1) for x, n in zip(whole, (3, 7, 20)))
+            found = decontaminate.tiles(one, two, 3)
+        assert found == decontaminate.tiles(one, two, 3)
+        starts = np.flatnonzero(np.isin(whole[0], decontaminate.windows(two, 3)))
+        if len(starts):
+            part = decontaminate.stretches(one, starts, 3)
+            inside = decontaminate.tiles(part, two, 3, min(len(one), len(two)))
+            assert [(j, n) for _, j, n in inside] == [(j, n) for _, j, n in found] and all((part[i : i + n] == two[j : j + n]).all() for i, j, n in inside)
+        else:
+            assert not found
+
+
+def test_long_and_repetitive_texts_take_linear_time_and_little_memory():
+    import time
+    import tracemalloc
+
+    bench = decontaminate.Benchmark([(1, "a " * 200 + " ".join(f"b{i}" for i in range(50))), (2, PASSAGE)])
+    tracemalloc.start()
+    began = time.perf_counter()
+    got = bench.verdict("a " * 200_000 + PASSAGE + " filler" * 200_000)
+    seconds, most = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["items"] == [1, 2] and seconds < 60 and most < 512 << 20
+
+
 def leaks(spark):
     w = PASSAGE.split()
     docs = [
