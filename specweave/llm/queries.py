@@ -73,6 +73,25 @@ def op10_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_neardup, op4_perspectives, op5_warc, op6_ann, op7_quality, op8_langid, op9_packing, op10_tokenstore)}
 #: Equal results in SQL, where it can express them.
 ORACLES: dict[str, str] = {
+    "op3_neardup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), s AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) END AS shingles FROM w
+        ), e AS MATERIALIZED (
+            SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+        ), links AS MATERIALIZED (
+            SELECT a.doc_id AS one, b.doc_id AS two FROM e AS a JOIN e AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), edges AS (
+            SELECT one, two FROM links UNION ALL SELECT two, one FROM links
+        ), reach AS (
+            SELECT doc_id, doc_id AS root FROM s UNION SELECT edges.two, reach.root FROM reach JOIN edges ON edges.one = reach.doc_id AND reach.root < edges.two
+        ), c AS (
+            SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+    """,
     "op4_perspectives": """
         WITH t AS (
             SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
