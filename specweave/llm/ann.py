@@ -46,6 +46,8 @@ SAMPLE_ROWS, ROUNDS, PASSES = 10_000, 8, 3
 ROW_BLOCK, RERANK = 8192, 256
 #: Most bytes of query vectors in a round; a task holds about as much again for their results.
 QUERY_BYTES = 32 << 20
+#: Queries that are compared with a block at a time, and most bytes of the rows that are reranked for them.
+QUERY_TILE, TILE_BYTES = 256, 64 << 20
 SEED = 3
 
 
@@ -265,9 +267,10 @@ def _scanning(queries, centres, d: int, kind, n: int, rerank: int):
             rows = pa.Table.from_batches(held)
             rep, x, codes = rows["rep"].to_numpy(), _matrix(rows["vec"], kind, d).astype(np.float64), _matrix(rows["code"], np.uint8, -(-d // 4))
             apart = np.linalg.norm(x - decode(codes, centres.value, d), axis=1)
-            for at in range(0, len(q), 256):
-                floor = score[at : at + 256, -1]
-                for i, (place, own) in enumerate(nearest(q[at : at + 256], x, rep, codes, centres.value, apart, n, rerank, floor), at):
+            tile = max(1, min(QUERY_TILE, TILE_BYTES // (max(rerank, n) * d * 8)))
+            for at in range(0, len(q), tile):
+                floor = score[at : at + tile, -1]
+                for i, (place, own) in enumerate(nearest(q[at : at + tile], x, rep, codes, centres.value, apart, n, rerank, floor), at):
                     both, who = np.concatenate((score[i], own)), np.concatenate((best[i], rep[place]))
                     order = np.lexsort((who, -both))[:n]
                     score[i], best[i] = both[order], who[order]

@@ -200,6 +200,7 @@ def top(x, ids, q, k=20):
 def test_search_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ann, "ROW_BLOCK", 300)
     monkeypatch.setattr(ann, "QUERY_BYTES", 20 * 24 * 8)  # rounds of some 20 queries
+    monkeypatch.setattr(ann, "TILE_BYTES", 7 * ann.RERANK * 24 * 8)  # tiles of 7 of them
     x, ids = vectors(), np.arange(900)
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(range(900), x)], "vec_id long, embedding array<float>, rank int")
     got: dict = {}
