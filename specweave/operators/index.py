@@ -30,6 +30,7 @@ class Index:
     name: str
     seconds: float = 0.0
     version: int = 0
+    every: bool = True  # how texts were tokenized, and queries are
 
     def refresh(self) -> None:
         """Counts terms anew from the postings, and swaps the table in when it is whole."""
@@ -52,7 +53,7 @@ class Index:
         self.ws.drop(f"{self.name}-tokens", f"{self.name}-postings", self._terms_table())
 
 
-def build_index(texts: DataFrame, ws: Workspace, latin: bool = False, name: str = "index") -> Index:
+def build_index(texts: DataFrame, ws: Workspace, latin: bool = False, name: str = "index", every: bool = True) -> Index:
     """From (field, doc_id, text). Each text is tokenized once, into a written table.
 
     Lengths are taken before the tokens are exploded, so documents without
@@ -60,7 +61,7 @@ def build_index(texts: DataFrame, ws: Workspace, latin: bool = False, name: str
     so look-ups skip row groups.
     """
     began = time.perf_counter()
-    found = F.coalesce(tx.tokenize(F.col("text"), latin), F.array().cast("array<string>"))
+    found = F.coalesce(tx.tokenize(F.col("text"), latin, every=every), F.array().cast("array<string>"))
     tokens = texts.select("field", "doc_id", found.alias("tokens")).withColumn("len", F.size("tokens"))
     tokens = ws.stage(tokens, f"{name}-tokens", by="field")
     docs = tokens.select("field", "doc_id", "len")
@@ -68,7 +69,7 @@ def build_index(texts: DataFrame, ws: Workspace, latin: bool = False, name: str
     postings = ws.stage(counted.sortWithinPartitions("field", "term"), f"{name}-postings", by="field")
     terms = ws.stage(term_counts(postings).sortWithinPartitions("field", "term"), f"{name}-terms0", by="field")
     names = {"postings": ["field", "term", "doc_id", "tf", "len"], "terms": ["field", "term", "df"]}
-    return Index(docs, postings.select(names["postings"]), terms.select(names["terms"]), tokens.select("field", "doc_id", "tokens"), ws, name, time.perf_counter() - began)
+    return Index(docs, postings.select(names["postings"]), terms.select(names["terms"]), tokens.select("field", "doc_id", "tokens"), ws, name, time.perf_counter() - began, every=every)
 
 
 def term_counts(postings: DataFrame) -> DataFrame:
