@@ -43,7 +43,7 @@ def test_round_robin_ids_beyond_six_digits(spark, tmp_path):
     equals_sql(spark, tmp_path, "round_robin_ids", "part")
 
 
-@pytest.mark.parametrize("name", ["doc_lengths", "index_statistics", "term_df"])
+@pytest.mark.parametrize("name", ["doc_lengths", "index_statistics", "term_df", "tokenize_terms"])
 def test_tokens_of_hexadecimal_runs(spark, tmp_path, name):
     texts = ["token 9dc3ac4b", "dc1ac2dc3 ac4", "DC12V ac100dc5", "xdc5 dc\nac7", "dc5\nac6", "0cab39-8ac11dc1d1a2a11dc6572", ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
