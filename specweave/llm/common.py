@@ -96,14 +96,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     return out_t, np.array(out_y, dtype=np.float64)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
-    """Newton's method; the slopes are held back a little, so that separable data end as well."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60, times: np.ndarray | float = 1.0) -> np.ndarray:
+    """Newton's method; ``times`` is how often each row counts. The slopes are held back a little, so that separable data end as well."""
     beta, hold = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     hold[0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (y - p) - hold * beta
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold + 1e-9), grad)
+        grad = x.T @ (times * (y - p)) - hold * beta
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + np.diag(hold + 1e-9), grad)
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break

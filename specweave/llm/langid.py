@@ -9,7 +9,7 @@ a uniform distribution. All languages' models are one set of sorted arrays of
 
 The language of least cross-entropy a character wins. The score is the
 probability that it is right, by a logistic curve over the lead on the second
-language in nats, fitted on short pieces of training texts; ``rejected`` is set
+language in nats, fitted on short pieces of all training texts; ``rejected`` is set
 where the score is below 0.5 or the cross-entropy is far beyond that of the
 language's training texts.
 
@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import SAMPLE_BYTES, bounded_rows, fold_of, free, logistic, mixed, small_batches
+from specweave.llm.common import fold_of, free, logistic, mixed, small_batches
 
 ORDER = 4
-#: Training texts that the curve and the limits of rejection are fitted on, at most (and of SAMPLE_BYTES together).
-CALIBRATION_ROWS = 2_000
-#: Lengths of the pieces of them that the curve is fitted on.
+#: Lengths of the pieces of the training texts that the curve is fitted on.
 PIECES = (4, 8, 16, 32, 64)
+#: Parts of one in which leads and cross-entropies are added up: whole numbers, so their order means nothing.
+LEAD_PARTS, ENTROPY_PARTS = 1_000, 10_000
 #: Characters that are handled at a time.
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -222,32 +222,52 @@ class Model:
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", id: str = "doc_id") -> Model:
-    """Counts over all rows where ``train`` holds; the curve is fitted on CALIBRATION_ROWS of them."""
+    """Counts, the curve and the limits of rejection over all rows where ``train`` holds."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull())
     found = counts(rows, text, lang).toArrow()
     if not len(found):
         return Model([], [], np.zeros(0))
     model = Model.of(found.set_column(0, "lang", found["lang"].dictionary_encode()).to_pandas())
-    ids = rows.select(id).distinct().orderBy(F.xxhash64(id), id).limit(CALIBRATION_ROWS)
-    sample = bounded_rows(rows, ids, [text, lang], id, SAMPLE_BYTES)
-    texts, truth = sample.column(text).to_pylist(), sample.column(lang).to_pylist()
-    x, right = [], []
-    for length in PIECES:  # short pieces of the texts, as whole ones are hardly ever mistaken
-        entropy, n = model.entropies([t[len(t) // 3 :][:length] for t in texts])
-        ok = n > 0
-        x.append(np.log1p(model.lead(entropy) * n)[ok])
-        right.append((np.array(model.langs)[entropy.argmin(axis=1)] == np.array(truth))[ok])
-    x, right = np.concatenate(x), np.concatenate(right)
-    if len(x):
-        model.curve = logistic(np.stack((np.ones(len(x)), x), 1), right.astype(float))
-    entropy, n = model.entropies(texts)
-    for k, name in enumerate(model.langs):
-        own = entropy[(np.array(truth) == name) & (n > 0), k]
-        model.limits[k] = own.mean() + 6 * own.std() + 0.5 if len(own) else np.inf
+    held = calibration(rows, model, text, lang).toPandas().sort_values(["kind", "lead", "right"])
+    curve, own = held[held.kind < 0], held[held.kind >= 0]
+    if len(curve):
+        x = curve.lead.to_numpy() / LEAD_PARTS
+        model.curve = logistic(np.stack((np.ones(len(x)), x), 1), curve.right.to_numpy(float), times=curve.n.to_numpy(float))
+    for k, n, total, squares in own[["kind", "n", "total", "squares"]].itertuples(index=False):
+        mean = total / n / ENTROPY_PARTS
+        model.limits[k] = mean + 6 * np.sqrt(max(squares / n / ENTROPY_PARTS**2 - mean**2, 0)) + 0.5
     return model
 
 
+def calibration(rows: DataFrame, model: Model, text: str, lang: str) -> DataFrame:
+    """Sums over all rows, as (kind, lead, right, n, total, squares): of kind -1, how many pieces have that lead and are
+    told right or wrong; of each language's number, its texts' cross-entropies. As few rows as there are distinct leads."""
+    sent = rows.sparkSession.sparkContext.broadcast((model.langs, model.levels, model.uniform))
+    names = ["kind", "lead", "right", "n", "total", "squares"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = Model(*sent.value), []
+        place = {name: k for k, name in enumerate(own.langs)}
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                texts, truth = batch.column(0).slice(at, 256).to_pylist(), np.array([place[x] for x in batch.column(1).slice(at, 256).to_pylist()])
+                # short pieces of the texts, as whole ones are hardly ever mistaken
+                entropy, n = own.entropies([t[len(t) // 3 :][:length] for length in PIECES for t in texts] + texts)
+                whole, size = entropy[-len(texts) :], n[-len(texts) :]
+                entropy, n, kind = entropy[: -len(texts)], n[: -len(texts)], np.tile(truth, len(PIECES))
+                lead = np.rint(np.log1p(own.lead(entropy) * n) * LEAD_PARTS).astype(np.int64)
+                pieces = pd.DataFrame({"kind": -1, "lead": lead, "right": (entropy.argmin(axis=1) == kind).astype(int), "n": 1, "total": 0, "squares": 0})[n > 0]
+                told = np.rint(whole[np.arange(len(texts)), truth] * ENTROPY_PARTS).astype(np.int64)
+                held += [pieces, pd.DataFrame({"kind": truth, "lead": 0, "right": 0, "n": 1, "total": told, "squares": told**2})[size > 0]]
+                held = [pd.concat(held).groupby(names[:3], as_index=False).sum()]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][c].to_numpy(np.int64)) for c in names], names=names)
+
+    found = rows.select(text, lang).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return found.groupBy(*names[:3]).agg(*[F.sum(c).alias(c) for c in names[3:]])
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred, score and rejected. No shuffle; whole texts."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.levels, model.uniform, model.curve, model.limits))

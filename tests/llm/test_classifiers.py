@@ -119,6 +119,31 @@ def texts_of(n, seed, length=30):
     return [(i, " ".join(rng.choice(LANGS[lang].split(), length)), lang) for i in range(n) for lang in [sorted(LANGS)[i % 3]]]
 
 
+def test_language_curve_and_limits_come_from_all_training_texts(spark, partitions):
+    rows = texts_of(2500, 9, 6) + [(10_000 + i, None if i else "", "aa") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def fitted():
+        model = langid.fit(docs, F.lit(True))
+        return model.curve.tolist(), model.limits.tolist(), model
+
+    curve, limits, model = fitted()
+    assert partitions(lambda: fitted()[:2], (1, 7)) == (curve, limits)
+    texts, truth = [t for _, t, _ in rows if t], np.array([lang for _, t, lang in rows if t])
+    whole = model.entropies(texts)[0]
+    for k, name in enumerate(model.langs):
+        own = whole[truth == name, k]
+        assert abs(limits[k] - (own.mean() + 6 * own.std() + 0.5)) < 1e-3
+    x, right = [], []
+    for length in langid.PIECES:
+        entropy, n = model.entropies([t[len(t) // 3 :][:length] for t in texts])
+        x.append(np.log1p(model.lead(entropy) * n)[n > 0])
+        right.append((np.array(model.langs)[entropy.argmin(axis=1)] == truth)[n > 0])
+    x = np.concatenate(x)
+    want = common.logistic(np.stack((np.ones(len(x)), x), 1), np.concatenate(right).astype(float))
+    assert np.abs(np.array(curve) - want).max() < 0.02
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     docs = spark.createDataFrame(texts_of(300, 1), "doc_id long, text string, lang string").persist()
