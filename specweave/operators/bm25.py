@@ -11,9 +11,9 @@ from specweave.operators.index import Index
 K1, B = 1.2, 0.75
 
 
-def query_terms(queries: DataFrame, latin: bool = False, every: bool = True) -> DataFrame:
+def query_terms(queries: DataFrame, latin: bool = False, plain: bool = False) -> DataFrame:
     """(qid, term): the distinct terms of each query."""
-    return queries.select("qid", F.explode(F.array_distinct(tx.tokenize(F.col("text"), latin, every=every))).alias("term"))
+    return queries.select("qid", F.explode(F.array_distinct(tx.tokenize(F.col("text"), latin, plain=plain))).alias("term"))
 
 
 def bm25(index: Index, queries: DataFrame, field: str = "raw", k: int = 50, latin: bool = False) -> DataFrame:
@@ -26,7 +26,7 @@ def bm25(index: Index, queries: DataFrame, field: str = "raw", k: int = 50, lati
     stats = index.docs.where(F.col("field") == field).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avgdl"))
     terms = index.terms.where(F.col("field") == field).select("term", "df")
     postings = index.postings.where(F.col("field") == field).select("term", "doc_id", "tf", "len")
-    hits = query_terms(queries, latin, index.every).join(terms, "term").join(postings, "term").crossJoin(stats)
+    hits = query_terms(queries, latin, index.plain).join(terms, "term").join(postings, "term").crossJoin(stats)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     scored = hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))

@@ -94,7 +94,7 @@ class Searcher:
 
     def rerank(self, ranked: DataFrame, queries: DataFrame, field: str = "raw", n: int = RERANK_ROWS) -> DataFrame:
         if self.score is overlap_score:  # the index has the tokens
-            asked = queries.select("qid", tx.tokenize(F.col("text"), every=self.index.every).alias("tokens"))
+            asked = queries.select("qid", tx.tokenize(F.col("text"), plain=self.index.plain).alias("tokens"))
             return rerank(ranked, asked, self.index.tokens.where(F.col("field") == field).select("doc_id", "tokens"), n, token_overlap)
         return rerank(ranked, queries, self.texts.where(F.col("field") == field).select("doc_id", "text"), n, self.score)
 

@@ -30,7 +30,7 @@ class Index:
     name: str
     seconds: float = 0.0
     version: int = 0
-    every: bool = True  # how texts were tokenized, and queries are
+    plain: bool = False  # how texts were tokenized, and queries are
 
     def refresh(self) -> None:
         """Counts terms anew from the postings, and swaps the table in when it is whole."""
@@ -53,23 +53,25 @@ class Index:
         self.ws.drop(f"{self.name}-tokens", f"{self.name}-postings", self._terms_table())
 
 
-def build_index(texts: DataFrame, ws: Workspace, latin: bool = False, name: str = "index", every: bool = True) -> Index:
+def build_index(texts: DataFrame, ws: Workspace, latin: bool = False, name: str = "index", plain: bool = False) -> Index:
     """From (field, doc_id, text). Each text is tokenized once, into a written table.
 
     Lengths are taken before the tokens are exploded, so documents without
     tokens count among the documents. Postings are sorted by term within files,
-    so look-ups skip row groups.
+    so look-ups skip row groups. A text that is null has length 0, or none where
+    tokens are ``plain``.
     """
     began = time.perf_counter()
-    found = F.coalesce(tx.tokenize(F.col("text"), latin, every=every), F.array().cast("array<string>"))
-    tokens = texts.select("field", "doc_id", found.alias("tokens")).withColumn("len", F.size("tokens"))
+    found = tx.tokenize(F.col("text"), latin, plain=plain)
+    found = found if plain else F.coalesce(found, F.array().cast("array<string>"))
+    tokens = texts.select("field", "doc_id", found.alias("tokens")).withColumn("len", F.array_size("tokens"))
     tokens = ws.stage(tokens, f"{name}-tokens", by="field")
     docs = tokens.select("field", "doc_id", "len")
     counted = tokens.select("field", "doc_id", "len", F.explode("tokens").alias("term")).groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len"))
     postings = ws.stage(counted.sortWithinPartitions("field", "term"), f"{name}-postings", by="field")
     terms = ws.stage(term_counts(postings).sortWithinPartitions("field", "term"), f"{name}-terms0", by="field")
     names = {"postings": ["field", "term", "doc_id", "tf", "len"], "terms": ["field", "term", "df"]}
-    return Index(docs, postings.select(names["postings"]), terms.select(names["terms"]), tokens.select("field", "doc_id", "tokens"), ws, name, time.perf_counter() - began, every=every)
+    return Index(docs, postings.select(names["postings"]), terms.select(names["terms"]), tokens.select("field", "doc_id", "tokens"), ws, name, time.perf_counter() - began, plain=plain)
 
 
 def term_counts(postings: DataFrame) -> DataFrame:

@@ -50,6 +50,13 @@ def test_tokens_of_hexadecimal_runs(spark, tmp_path, name):
     equals_sql(spark, tmp_path, name, "documents")
 
 
+@pytest.mark.parametrize("name", ["doc_lengths", "index_statistics"])
+def test_tokens_of_characters_that_folding_changes(spark, tmp_path, name):
+    texts = ["12 m² x³ brand™ ﬁne ½ kg", "ＤＣ１２Ｖ ｗide", "İstanbul İdc5 \u212a2 cafe\u0301 naïve ß", "电源适配器 输出5V电压", "5 °C 4°c", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    equals_sql(spark, tmp_path, name, "documents")
+
+
 @pytest.mark.parametrize("name", ["lsh_recall", "filtered_knn_modes"])
 def test_query_without_sql_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
