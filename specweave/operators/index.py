@@ -67,13 +67,38 @@ def build_index(texts: DataFrame, ws: Workspace, latin: bool = False, name: str
     tokens = texts.select("field", "doc_id", found.alias("tokens")).withColumn("len", F.array_size("tokens"))
     tokens = ws.stage(tokens, f"{name}-tokens", by="field")
     docs = tokens.select("field", "doc_id", "len")
-    counted = tokens.select("field", "doc_id", "len", F.explode("tokens").alias("term")).groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len"))
-    postings = ws.stage(counted.sortWithinPartitions("field", "term"), f"{name}-postings", by="field")
+    postings = ws.stage(term_frequencies(tokens).sortWithinPartitions("field", "term"), f"{name}-postings", by="field")
     terms = ws.stage(term_counts(postings).sortWithinPartitions("field", "term"), f"{name}-terms0", by="field")
     names = {"postings": ["field", "term", "doc_id", "tf", "len"], "terms": ["field", "term", "df"]}
     return Index(docs, postings.select(names["postings"]), terms.select(names["terms"]), tokens.select("field", "doc_id", "tokens"), ws, name, time.perf_counter() - began, plain=plain)
 
 
+def term_frequencies(tokens: DataFrame) -> DataFrame:
+    """(field, term, doc_id, tf, len) from (field, doc_id, tokens, len).
+
+    A text's terms are counted in its row, as runs of its sorted tokens, so that
+    no posting is shuffled. Only texts that share an identifier, or have none,
+    are grouped.
+    """
+    shared = tokens.groupBy(F.col("field").alias("f"), F.col("doc_id").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR d IS NULL")
+    if shared.isEmpty():
+        return _in_rows(tokens)
+    same = (F.col("field") == F.col("f")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    several = tokens.join(shared, same, "left_semi").select("field", "doc_id", "len", F.explode("tokens").alias("term"))
+    grouped = several.groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len"))
+    return _in_rows(tokens.join(shared, same, "left_anti")).unionByName(grouped)
+
+
+def _in_rows(tokens: DataFrame) -> DataFrame:
+    """Term frequencies where each row is a document."""
+    starts = F.filter(F.transform("sorted", lambda t, i: F.when((i == 0) | (t != F.get("sorted", i - 1)), i)), lambda i: i.isNotNull())
+    runs = F.transform("starts", lambda at, n: F.struct(F.get("sorted", at).alias("term"), (F.coalesce(F.get("starts", n + 1), F.size("sorted")) - at).alias("tf")))
+    rows = tokens.select("field", "doc_id", "len", F.sort_array("tokens").alias("sorted")).withColumn("starts", starts)
+    # an inner explode would have its input computed once more, by the filter that is inferred from it
+    rows = rows.select("field", "doc_id", "len", F.explode_outer(runs).alias("run")).where("run IS NOT NULL")
+    return rows.select("field", "run.term", "doc_id", "run.tf", "len")
+
+
 def term_counts(postings: DataFrame) -> DataFrame:
     """Documents of each term: the materialised view; writing it anew refreshes it."""
     return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))

@@ -57,6 +57,13 @@ def test_tokens_of_characters_that_folding_changes(spark, tmp_path, name):
     equals_sql(spark, tmp_path, name, "documents")
 
 
+@pytest.mark.parametrize("name", ["doc_lengths", "index_statistics", "term_df", "tokenize_terms"])
+def test_terms_of_rows_that_share_an_identifier(spark, tmp_path, name):
+    rows = [(1, "dc5 the kg 5kg"), (1, "dc5 dc5 a"), (2, None), (None, "x y x"), (None, "x z"), (3, None), (3, "5kg"), (4, ""), (5, "the a an"), (6, "x 5kg x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    equals_sql(spark, tmp_path, name, "documents")
+
+
 @pytest.mark.parametrize("name", ["lsh_recall", "filtered_knn_modes"])
 def test_query_without_sql_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0

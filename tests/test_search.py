@@ -28,6 +28,17 @@ def test_documents_without_tokens_count(spark):
     assert {(r.term, r.df) for r in ix.terms.collect()} == {("12v", 2), ("2a", 1), ("eu", 1), ("24v", 1), ("motor", 1), ("3000rpm", 1)}
 
 
+@pytest.mark.parametrize("ids, shuffled", [((1, 2, 3, 4, 5), False), ((1, 2, 2, None, None), True)])
+def test_only_texts_that_share_an_identifier_are_shuffled(spark, ids, shuffled):
+    """Terms are counted in each text's row; what rows of one identifier have in common counts together."""
+    texts = [["5v", "b", "b", "5v", "b"], ["z"], ["z", "a"], [], None]
+    rows = [("raw", i, t, None if t is None else len(t)) for i, t in zip(ids, texts)] + [("norm", ids[0], ["b"], 1), ("norm", None, ["b", "b"], 2)][: 1 + shuffled]
+    df = index.term_frequencies(spark.createDataFrame(rows, "field string, doc_id long, tokens array<string>, len int"))
+    assert ("Exchange" in df._jdf.queryExecution().toString()) == shuffled
+    expected = Counter((f, t, i) for f, i, tokens, _ in rows for t in tokens or [])
+    assert {(r.field, r.term, r.doc_id): r.tf for r in df.collect()} == expected and df.count() == len(expected)
+
+
 def test_hand_score(spark):
     _, ix = built(spark, DOCS[:2])
     rows = bm25(ix, spark.createDataFrame([(1, "2A 2A")], "qid int, text string"), latin=True).collect()
